@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +29,24 @@ def text_or_empty(text: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that equal rows share and different (id, text) pairs do not: ``k_id`` and ``k_text``."""
     return [F.coalesce(doc_id.cast("string"), F.lit("null")).alias("k_id"), F.xxhash64(text).alias("k_text")]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """Runs of rows with equal first ``keys`` columns (integers), with their other columns; runs may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    whole = lambda: (last, [pa.concat_arrays([h.column(i) for h in held]) for i in range(keys, held[0].num_columns)])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        for s, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+            now = tuple(ids[s].tolist())
+            if held and now != last:
+                yield whole()
+                held = []
+            last = now
+            held.append(b.slice(int(s), int(e - s)))
+    if held:
+        yield whole()
