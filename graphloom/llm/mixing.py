@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_or_empty
-from graphloom.runtime import materialize
+from graphloom.runtime import is_empty, materialize
 
 WEIGHTS = (5, 2, 1)
 
@@ -92,11 +92,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3
     Equal rows (same id, source and text) share one drawing per row; their copies are pooled over them.
     """
     drawn = mixed(docs, weights, max_repeat, **how).groupBy("doc_id", "source", "k_text").agg(F.sum("copies").alias("loom_copies"), F.count(F.lit(1)).alias("loom_rows"))
-    drawn = drawn.withColumnsRenamed({"doc_id": "loom_id", "source": "loom_source", "k_text": "loom_text"}).where("loom_copies > 0")
+    drawn = materialize(drawn.withColumnsRenamed({"doc_id": "loom_id", "source": "loom_source", "k_text": "loom_text"}).where("loom_copies > 0"), "drawn")
     one = docs.withColumn("loom_md5", F.md5(text_or_empty(F.col("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col("loom_id")) & F.col("source").eqNullSafe(F.col("loom_source")) & (F.col("loom_md5") == F.col("loom_text"))
+    both = one.join(drawn.where("loom_rows = 1"), on)
     twins = drawn.where("loom_rows > 1")
-    on = lambda right: F.col("doc_id").eqNullSafe(F.col("loom_id")) & F.col("source").eqNullSafe(F.col("loom_source")) & (F.col("loom_md5") == F.col("loom_text"))
-    single = one.join(drawn.where("loom_rows = 1"), on(drawn))
-    pooled = one.dropDuplicates(["doc_id", "source", "loom_md5"]).join(twins, on(twins))
-    both = single.unionByName(pooled)
+    if not is_empty(twins):
+        both = both.unionByName(one.join(twins, on).dropDuplicates(["doc_id", "source", "loom_md5"]))
     return both.select(*(F.col(c) for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("loom_copies"))).alias("copy"))
