@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.contraction import connected_components
-from graphloom.runtime import materialize
+from graphloom.runtime import is_empty, materialize
 
 BLOCK_VARIANTS = 4_000_000
 #: Bytes of text whose words are held at once, and shingle hashes whose bits are counted at once.
@@ -167,6 +167,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, see
     Rows with a null id are kept only if no row of their group has an id; of rows that repeat an id, one stays.
     Columns and their order stay.
     """
-    keys = near_duplicates(docs, radius, shingle, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = keys.select(F.col("doc_id").alias("loom_id")).distinct()
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("loom_id")), "left_semi").dropDuplicates(["doc_id"])
+    groups = near_duplicates(docs, radius, shingle, seed)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("loom_id")).agg(F.count(F.lit(1)).alias("loom_rows"))
+    first = materialize(first, "kept")
+    kept = docs.join(first.select("loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")), "left_semi")
+    return kept if is_empty(first.where("loom_rows > 1")) else kept.dropDuplicates(["doc_id"])
