@@ -20,6 +20,8 @@ from graphloom.runtime import materialize
 #: Fixed value: the characters that separate words (in A-Z, a-z, 0-9 and everything outside ASCII are words).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MAX_WINDOWS = 200_000
+#: Contaminated documents up to which their keys are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -92,10 +94,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_
     original spelling) joined by spaces; other texts stay as they are.
     """
     found = contamination(docs, benchmark, n, max_windows).where("contaminated").select("k_id", "k_text", "spans").dropDuplicates(["k_id", "k_text"])
+    found = materialize(found, "contaminated")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     key_id, key_text = row_key(F.col("doc_id"), F.col("text"))
     on = (key_id == F.col("k_id")) & (key_text == F.col("k_text"))
     if not spans:
-        return docs.join(found.select("k_id", "k_text"), on, "left_anti")
+        return docs.join(found, on, "left_anti")
     kept = F.expr("array_join(filter(loom_w, (x, i) -> not exists(loom_spans, s -> i >= s.a and i < s.b)), ' ')")
     both = docs.join(found.withColumnRenamed("spans", "loom_spans"), on, "left").withColumn("loom_w", words_of(F.col("text")))
     return both.withColumn("text", F.when(F.col("loom_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
