@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import row_key, text_or_empty
-from graphloom.runtime import materialize
+from graphloom.runtime import discard, materialize
 
 WILD = "<*>"
 BROADCAST_ROWS = 500_000
@@ -25,13 +25,13 @@ BROADCAST_ROWS = 500_000
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``k_id, k_text, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
-    text = text_or_empty(F.col("text"))
-    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), text.alias("text")).dropDuplicates(["k_id", "k_text"])
-    split = keyed.select("k_id", "k_text", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    toks = split.select("k_id", "k_text", "pos", F.split(F.trim(F.regexp_replace(F.regexp_replace("line", r"\S*[0-9]\S*", WILD), r"\s+", " ")), " ").alias("tokens"))
+    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
+    split = keyed.select("k_id", "k_text", F.posexplode("lines").alias("pos", "line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", WILD)).otherwise(F.col("line"))
+    toks = split.select("k_id", "k_text", "pos", F.split(F.trim(masked), r"\s+").alias("tokens"))
     toks = toks.withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", *(F.get("tokens", F.lit(i)) for i in range(depth)))
-    return toks.select("k_id", "k_text", "pos", "n", leaf.alias("leaf"), F.xxhash64("n", F.concat_ws(" ", "tokens")).alias("form"), "tokens")
+    return toks.select("k_id", "k_text", "pos", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("form"), "tokens")
 
 
 def templates(lines: DataFrame, depth: int, min_docs: int, similarity: float) -> DataFrame:
@@ -50,13 +50,15 @@ def templates(lines: DataFrame, depth: int, min_docs: int, similarity: float) ->
     known = known.withColumn("general", F.when(F.col("constant").isNotNull(), general))
     fixed = F.size(F.filter("general", lambda t: t != WILD))
     follows = F.col("general").isNotNull() & (fixed >= F.col("n") * similarity)
-    template = F.when(follows, F.xxhash64("n", F.concat_ws(" ", "general"))).otherwise(F.col("form"))
+    template = F.when(follows, F.xxhash64("general")).otherwise(F.col("form"))
     return known.select("k_id", "k_text", "pos", "n", template.alias("template"))
 
 
 def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_tokens: int = 3, similarity: float = 0.7) -> DataFrame:
     """``k_id, k_text, pos, n, recurs`` for each line with enough tokens."""
-    lines = materialize(templates(materialize(lines_of(docs, depth, min_tokens), "lines"), depth, min_docs, similarity), "templates")
+    read = materialize(lines_of(docs, depth, min_tokens), "lines")
+    lines = materialize(templates(read, depth, min_docs, similarity), "templates")
+    discard(read)
     texts = lines.groupBy("template", "k_text").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
     often = materialize(texts.where(F.col("texts") >= min_docs).select("template", F.lit(True).alias("recurs")), "recurring")
     some = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
@@ -70,7 +72,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min
     lose the same lines; an empty table gives an empty table.
     """
     lines = recurring(docs, depth, min_docs, min_tokens, similarity)
-    per = lines.groupBy("k_id", "k_text").agg(F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("all"), F.collect_list(F.when(F.col("recurs"), F.col("pos"))).alias("loom_drop"))
+    per = lines.groupBy("k_id", "k_text").agg(F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("all"), F.collect_set(F.when(F.col("recurs"), F.col("pos"))).alias("loom_drop"))
     per = materialize(per.where((F.size("loom_drop") > 0) & (F.col("again") <= F.col("all") * most)).select("k_id", "k_text", "loom_drop"), "drops")
     key_id, key_text = row_key(F.col("doc_id"), F.col("text"))
     both = docs.join(per, (key_id == F.col("k_id")) & (key_text == F.col("k_text")), "left")
