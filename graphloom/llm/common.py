@@ -31,6 +31,12 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("string"), F.lit("null")).alias("k_id"), F.xxhash64(text).alias("k_text")]
 
 
+def own(name: str, side: str) -> Column:
+    """A column of one side of a join, whatever names the other side has."""
+    quoted = name.replace("`", "``")
+    return F.col(f"{side}.`{quoted}`").alias(name)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
     """Runs of rows with equal first ``keys`` columns (integers), with their other columns; runs may span batches."""
     held: list[pa.RecordBatch] = []

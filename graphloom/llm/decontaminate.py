@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, row_key, text_or_empty
+from graphloom.llm.common import ascii_lower, own, row_key, text_or_empty
 from graphloom.runtime import materialize
 
 #: Fixed value: the characters that separate words (in A-Z, a-z, 0-9 and everything outside ASCII are words).
@@ -42,6 +42,10 @@ def anchor(word, p, length: int) -> Column:
     return F.xxhash64(word(p), word(p + length // 2), word(p + (length - 1)), F.lit(length))
 
 
+def marked_starts(starts: Column, length: int) -> Column:
+    return F.transform(starts, lambda p: F.struct(p.alias("p"), F.lit(length).alias("len")))
+
+
 def scan(docs: DataFrame, windows: DataFrame, max_windows: int) -> tuple[DataFrame, bool]:
     """One row per document: its key, word count and the positions that may start a window."""
     known = windows.select("len", F.split(F.lower("gram"), " ").alias("w"))
@@ -56,7 +60,7 @@ def scan(docs: DataFrame, windows: DataFrame, max_windows: int) -> tuple[DataFra
             listed = ",".join(f"{r[0]}L" if r[0] > -(2**63) else "(-9223372036854775807L - 1L)" for r in own.collect())
             test = f"filter(if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>)), p -> xxhash64(w[p], w[p + {length // 2}], w[p + {length - 1}], {length}) in ({listed}))"
             starts = F.expr(test)
-        found.append(F.transform(starts, lambda p, length=length: F.struct(p.alias("p"), F.lit(length).alias("len"))))
+        found.append(marked_starts(starts, length))
     cand = F.concat(*found) if found else F.array().cast("array<struct<p:int,len:int>>")
     rows = rows.select("doc_id", "k_id", "k_text", "text", F.size("w").cast("long").alias("n_words"), cand.alias("cand"))
     return rows.withColumn("text", F.when(F.size("cand") > 0, F.col("text"))), small
@@ -97,10 +101,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_
     found = materialize(found, "contaminated")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    key_id, key_text = row_key(F.col("doc_id"), F.col("text"))
-    on = (key_id == F.col("k_id")) & (key_text == F.col("k_text"))
+    key_id, key_text = row_key(F.col("d.doc_id"), F.col("d.text"))
+    on = (key_id == F.col("f.k_id")) & (key_text == F.col("f.k_text"))
+    d, f = docs.alias("d"), found.alias("f")
     if not spans:
-        return docs.join(found, on, "left_anti")
-    kept = F.expr("array_join(filter(loom_w, (x, i) -> not exists(loom_spans, s -> i >= s.a and i < s.b)), ' ')")
-    both = docs.join(found.withColumnRenamed("spans", "loom_spans"), on, "left").withColumn("loom_w", words_of(F.col("text")))
-    return both.withColumn("text", F.when(F.col("loom_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+        return d.join(f, on, "left_anti").select("d.*")
+    i_kept = lambda i: ~F.exists("f.spans", lambda s: (i >= s["a"]) & (i < s["b"]))
+    kept = F.array_join(F.filter(words_of(F.col("d.text")), lambda _, i: i_kept(i)), " ")
+    text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(kept)
+    return d.join(f, on, "left").select(*(text.alias(c) if c == "text" else own(c, "d") for c in docs.columns))

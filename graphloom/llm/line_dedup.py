@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-A line is split at white space and tokens with digits become ``<*>``. The tree has the number of tokens on its
+A line is split at white space and tokens with digits become ``<*>``, unless they are over half of the line. The tree has the number of tokens on its
 first level and the leading tokens on the next ``depth`` levels. In a leaf that holds different lines, a
 position keeps its token if that token stands there in at least ``min_docs`` texts; otherwise it is a variable
 field, ``<*>``. A line follows its leaf's generalised form if at least ``similarity`` of its tokens are
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import row_key, text_or_empty
+from graphloom.llm.common import own, row_key, text_or_empty
 from graphloom.runtime import discard, materialize
 
 WILD = "<*>"
@@ -27,8 +27,10 @@ def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``k_id, k_text, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
     split = keyed.select("k_id", "k_text", F.posexplode("lines").alias("pos", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", WILD)).otherwise(F.col("line"))
-    toks = split.select("k_id", "k_text", "pos", F.split(F.trim(masked), r"\s+").alias("tokens"))
+    raw = split.select("k_id", "k_text", "pos", "line", F.split(F.trim("line"), r"\s+").alias("raw"))
+    masked = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    mostly_words = F.size(F.filter("raw", lambda t: ~t.rlike("[0-9]"))) * 2 >= F.size("raw")
+    toks = raw.select("k_id", "k_text", "pos", F.when(F.col("line").rlike("[0-9]") & mostly_words, masked).otherwise(F.col("raw")).alias("tokens"))
     toks = toks.withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", *(F.get("tokens", F.lit(i)) for i in range(depth)))
     return toks.select("k_id", "k_text", "pos", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("form"), "tokens")
@@ -74,9 +76,10 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min
     lines = recurring(docs, depth, min_docs, min_tokens, similarity)
     per = lines.groupBy("k_id", "k_text").agg(F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("all"), F.collect_set(F.when(F.col("recurs"), F.col("pos"))).alias("loom_drop"))
     per = materialize(per.where((F.size("loom_drop") > 0) & (F.col("again") <= F.col("all") * most)).select("k_id", "k_text", "loom_drop"), "drops")
-    key_id, key_text = row_key(F.col("doc_id"), F.col("text"))
-    both = docs.join(per, (key_id == F.col("k_id")) & (key_text == F.col("k_text")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("loom_drop", i)), "\n")
-    columns = [F.when(F.col("loom_drop").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return both.select(*columns, F.coalesce(F.size("loom_drop"), F.lit(0)).cast("long").alias("n_dropped"), n.cast("long").alias("n_lines"))
+    key_id, key_text = row_key(F.col("d.doc_id"), F.col("d.text"))
+    both = docs.alias("d").join(per.alias("p"), (key_id == F.col("p.k_id")) & (key_text == F.col("p.k_text")), "left")
+    text, drop = F.col("d.text"), F.col("p.loom_drop")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i)), "\n")
+    columns = [F.when(drop.isNotNull(), kept).otherwise(text).alias("text") if c == "text" else own(c, "d") for c in docs.columns]
+    n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    return both.select(*columns, F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), n.cast("long").alias("n_lines"))
