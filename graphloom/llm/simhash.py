@@ -13,6 +13,7 @@ group is expanded into pairs); distances are verified for odd radii too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,14 +42,25 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles; 0 for a text without words."""
-    ones, total, tail, words = np.zeros(64, np.int64), 0, [], []
+def remixed(h: np.ndarray, band: int) -> np.ndarray:
+    """The hashes for a band: band 0 keeps them, the others are bijections of them."""
+    if band:
+        h = (h ^ np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, bands: int = 1) -> np.ndarray:
+    """For each band, the majority bits of the XXH64 of all word shingles; 0 for a text without words."""
+    ones, total, tail, words = np.zeros((bands, 64), np.int64), 0, [], []
     digest = xxhash.xxh64_intdigest
 
     def count(hashes: list[int]) -> None:
-        bits = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        ones[:] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        h = np.array(hashes, dtype="<u8")
+        for band in range(bands):
+            bits = remixed(h, band).view(np.uint8).reshape(-1, 8)
+            ones[band] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
     for piece in pieces((text or "").encode("utf-8", "surrogatepass").lower()):
         words = tail + piece
@@ -58,23 +70,24 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
             for i in range(0, len(stops), COUNT):
                 count([digest(line[a:b], seed) for a, b in zip(starts[i : i + COUNT], stops[i : i + COUNT], strict=True)])
             total += len(stops)
-        tail = words[-(shingle - 1) :]
+        tail = words[-(shingle - 1) :] if shingle > 1 else []
     if not total and words:
         count([digest(b" ".join(words), seed)])
         total = 1
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``docs(doc_id, text)`` → ``doc_id, fp`` (the 64 bits as a signed bigint), row by row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, bands: int = 1) -> DataFrame:
+    """``docs(doc_id, text)`` → ``doc_id, fps`` (one signed bigint for each band), row by row."""
     kind = docs.schema["doc_id"].dataType
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            flat = np.concatenate([fingerprint(t, shingle, seed, bands) for t in b.column(1).to_pylist()] or [np.empty(0, np.uint64)])
+            fps = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fps"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fps array<bigint>")
 
 
 def masks(bits: int, most: int) -> np.ndarray:
@@ -117,31 +130,33 @@ def meet(block: int, fps: np.ndarray, prefix_bits: int, radius: int) -> np.ndarr
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """``distinct(fp)`` (written, no repeats) → ``src, dst``: links that connect all pairs within the radius."""
+    """``distinct(band, fp)`` (written, no repeats) → ``band, src, dst``: links that connect all pairs within the radius."""
     if radius % 2:
         raise ValueError("the radius has two equal halves")
-    ball = 1 + 64 + 64 * 63 // 2 if radius == 4 else len(masks(64, radius // 2))
-    prefix_bits = max(8, (distinct.count() * ball // BLOCK_VARIANTS).bit_length())
+    ball, largest = len(masks(64, radius // 2)), distinct.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    prefix_bits = max(8, (largest * ball // BLOCK_VARIANTS).bit_length())
     reach, low = masks(prefix_bits, radius // 2), 64 - prefix_bits
 
-    def send(batches):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            blocks = ((fps >> np.uint64(low))[:, None] ^ reach[None, :]).ravel()
+            fps = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            bands = b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(prefix_bits)
+            blocks = (((fps >> np.uint64(low)) | bands)[:, None] ^ reach[None, :]).ravel()
             order = np.argsort(blocks, kind="stable")
             blocks, own = blocks[order], fps[order // len(reach)]
             cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.empty(0, int)
             packed = [x.tobytes() for x in np.split(own, cuts[1:])] if len(cuts) else []
             yield pa.RecordBatch.from_arrays([pa.array(blocks[cuts].astype(np.int64)), pa.array(packed, pa.binary())], ["block", "fps"])
 
-    def verify(batches):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = meet(block, np.frombuffer(b"".join(packed), np.uint64), prefix_bits, radius).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["src", "dst"])
+            for key, packed in zip(b.column(0), b.column(1), strict=True):
+                band, block = divmod(key.as_py(), 1 << prefix_bits)
+                x = meet(block, np.frombuffer(b"".join(packed.as_py()), np.uint64), prefix_bits, radius).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), band)), pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["band", "src", "dst"])
 
-    sent = distinct.select("fp").mapInArrow(send, "block bigint, fps binary")
-    return sent.groupBy("block").agg(F.collect_list("fps").alias("fps")).mapInArrow(verify, "src bigint, dst bigint").distinct()
+    sent = distinct.select("band", "fp").mapInArrow(send, "block bigint, fps binary")
+    return sent.groupBy("block").agg(F.collect_list("fps").alias("fps")).mapInArrow(verify, "band bigint, src bigint, dst bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -152,22 +167,55 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     other; a null id stays null and never names a component that has another id. Only ``doc_id`` and
     ``text`` are read, other columns may have any name.
     """
-    fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    labels = connected_components(links(classes, radius))
+    fps = materialize(fingerprints(docs, shingle, seed).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(F.lit(0).cast("long").alias("band"), "fp", "first_id"), "classes")
+    labels = connected_components(links(classes, radius).select("src", "dst"))
     named = classes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = materialize(named.join(smallest, "label").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """One document of each near-duplicate group: the rows whose ``doc_id`` names their component.
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits that shingle sets of this similarity (shared over all) are expected to have."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(bits * math.acos(cosine) / math.pi)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, bands: int = 8, radius: int = 4, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``: groups of texts that share ``similarity`` of their shingles.
+
+    One fingerprint finds pairs at the similarity too rarely. So each text has ``bands`` fingerprints of the same
+    shingles; pairs that meet in any band by ball hashing are candidates, and the differing bits of all bands
+    together, an estimate of the similarity by many more bits, decide. Rows are treated as in ``near_duplicates``.
+    """
+    fps = materialize(fingerprints(docs, shingle, seed, bands), "fingerprints")
+    classes = materialize(fps.groupBy("fps").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    in_band = materialize(classes.select("cid", F.posexplode("fps").alias("band", "fp")).select("cid", F.col("band").cast("long"), "fp"), "bands")
+    heads = materialize(in_band.groupBy("band", "fp").agg(F.min("cid").alias("head")), "heads")
+    met = links(heads, radius)
+    a, b = (heads.select("band", F.col("fp").alias(x), F.col("head").alias(f"{x}_cid")) for x in ("src", "dst"))
+    across = met.join(a, ["band", "src"]).join(b, ["band", "dst"]).select(F.least("src_cid", "dst_cid").alias("x"), F.greatest("src_cid", "dst_cid").alias("y"))
+    within = in_band.join(heads, ["band", "fp"]).where("cid <> head").select(F.col("head").alias("x"), F.col("cid").alias("y"))
+    candidates = across.unionAll(within).where("x <> y").distinct()
+    left, right = (classes.select(F.col("cid").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("x", "y"))
+    off = F.aggregate(F.zip_with("fps_x", "fps_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    near = candidates.join(left, "x").join(right, "y").where(off <= most_bits(similarity, 64 * bands)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    labels = connected_components(near)
+    named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("fps", "first_id", F.coalesce("component", "cid").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_fps = materialize(named.join(smallest, "label").select("fps", "component_id"), "components")
+    return fps.join(of_fps, "fps").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **how) -> DataFrame:
+    """One document of each group of near copies: the rows whose ``doc_id`` names their component.
 
     Rows with a null id are kept only if no row of their group has an id; of rows that repeat an id, one stays.
     Columns and their order stay.
     """
-    groups = near_duplicates(docs, radius, shingle, seed)
+    groups = near_copies(docs, similarity, **how)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("loom_id")).agg(F.count(F.lit(1)).alias("loom_rows"))
     first = materialize(first, "kept")
     kept = docs.join(first.select("loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")), "left_semi")

@@ -315,7 +315,7 @@ def test_fingerprints(monkeypatch):
         monkeypatch.setattr(simhash, "PIECE", piece)
         monkeypatch.setattr(simhash, "COUNT", count)
         for t in texts:
-            assert simhash.fingerprint(t) == brute_fingerprint(t), t
+            assert simhash.fingerprint(t).tolist() == [brute_fingerprint(t)], t
 
 
 def test_simhash_links(spark):
@@ -328,7 +328,7 @@ def test_simhash_links(spark):
         fps.append(x)
     fps = sorted(set(fps))
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    links = simhash.links(spark.createDataFrame(signed, "fp bigint")).collect()
+    links = simhash.links(spark.createDataFrame([(0, *s) for s in signed], "band bigint, fp bigint")).collect()
     place = {s[0]: i for i, s in enumerate(signed)}
     near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert roots(len(fps), [(place[r.src], place[r.dst]) for r in links]) == roots(len(fps), near)
@@ -345,12 +345,33 @@ def test_simhash_components(spark):
             least[c] = min(r[0], least.get(c, r[0]))
     want = multiset((r[0], f - (1 << 64) if f >> 63 else f, least.get(c)) for r, f, c in zip(rows, fp, comp, strict=True))
     assert multiset((r.doc_id, r.fp, r.component_id) for r in out) == want
-    kept = simhash.drop_near_duplicates(docs, shingle=4)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_copies(spark):
+    rng = random.Random(11)
+    docs, rows = corpus(spark)
+    edited = []
+    for k, share in enumerate((0.005, 0.01, 0.015, 0.3, 0.6)):
+        w = words(rng, 1000, 10**6).split()
+        other = [x if rng.random() > share else "edit" + x for x in w]
+        edited += [(1000 + 2 * k, " ".join(w), *[None] * 6), (1001 + 2 * k, " ".join(other), *[None] * 6)]
+    both = docs.unionByName(spark.createDataFrame(edited, SCHEMA))
+    of = {r.doc_id: r.component_id for r in simhash.near_copies(both).collect() if r.doc_id is not None}
+    assert [of[1001 + 2 * k] == 1000 + 2 * k for k in range(5)] == [True, True, True, False, False]
+    texts = defaultdict(list)
+    for r in rows:
+        if r[0] is not None:
+            texts[" ".join(lower(r[1]).split())].append(r[0])
+    for ids in texts.values():
+        assert len({of[i] for i in ids}) == 1
+    assert of[62] in (1, 62) and len({of[i] for i in range(60)}) == len({" ".join(lower(r[1]).split()) for r in rows[:60]})
+    kept = simhash.drop_near_duplicates(both)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of.values()))
+    assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
