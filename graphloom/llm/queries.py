@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, embed_dedup, langid, line_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup
+from graphloom.llm.oracles import ORACLES
 from graphloom.runtime import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -77,5 +80,3 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
-
-ORACLES: dict[str, str] = {}
