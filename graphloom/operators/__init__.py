@@ -1,0 +1 @@
+"""Graph operators over edge and vertex DataFrames."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import discard, is_empty, materialize
+from graphloom.runtime import discard, is_empty, materialize, view
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,8 @@ def compress(pointers: DataFrame) -> DataFrame:
         if is_empty(jumped.where(F.col("c") != F.col("cc"))):
             discard(jumped)
             return pointers
-        fresh = materialize(jumped.select("id", F.col("cc").alias("c")), "pointers")
-        discard(pointers, jumped)
-        pointers = fresh
+        discard(pointers)
+        pointers = view(jumped, jumped.select("id", F.col("cc").alias("c")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

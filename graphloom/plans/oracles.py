@@ -99,5 +99,10 @@ ORACLES: dict[str, str] = {
     "triangle_count": over(MID, SYM, "select count(*) triangles from s a join s b on a.dst = b.src and a.src < a.dst and b.src < b.dst join s c on c.src = a.src and c.dst = b.dst"),
     "spmv": over(MID, VERT, "select id, coalesce(y, 0)::bigint y from v left join (select dst id, sum(src % 7) y from e group by dst) using (id)"),
 }
+M = "18446744073709551616::uhugeint"
+ORACLES["prng_splitmix64"] = f"""with a as (select range::bigint n, (42::uhugeint + (range + 1)::uhugeint * 11400714819323198485::uhugeint) % {M} z from range(1000)),
+b as (select n, (xor(z::ubigint, (z::ubigint >> 30))::uhugeint * 13787848793156543929::uhugeint) % {M} z from a),
+c as (select n, (xor(z::ubigint, (z::ubigint >> 27))::uhugeint * 10723151780598845931::uhugeint) % {M} z from b)
+select n, lower(lpad(to_hex(xor(z::ubigint, (z::ubigint >> 31))), 16, '0')) word from c"""
 ORACLES["cc_pointer_jump"] = ORACLES["cc_min_label"]
 ORACLES["degree_ordering_counting"] = ORACLES["degree_ordering"]

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import prng
 from graphloom.graphs import HAND_TEXT, Graph, g_main, g_mid, g_skew, g_sparse
 from graphloom.operators import components, degrees, forest, kernels, locality, ordering, partitioning, transform
 from graphloom.runtime import materialize, scratch_dir
@@ -385,6 +386,12 @@ def maximal_matching(spark, sf_dir):
     return kernels.maximal_matching(mid(spark, sf_dir))
 
 
+@query
+def prng_splitmix64(spark, sf_dir):
+    """The first 1000 words of a seeded generator, as hexadecimal digits."""
+    return spark.range(1000).select(F.col("id").alias("n"), F.lpad(F.lower(F.hex(prng.splitmix64_column(42, F.col("id")))), 16, "0").alias("word"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-degrees and the ordering of vertices by them."""
     return degree_ordering(spark, sf_dir)

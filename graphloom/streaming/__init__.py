@@ -1,0 +1 @@
+"""No operator here works on streams: graphs are complete before they are processed."""
