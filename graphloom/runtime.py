@@ -38,6 +38,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def view(table: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, made from a written ``table`` alone, as that table's name for ``discard``."""
+    df._loom_path = table._loom_path
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` made, once nothing reads them any more."""
     for df in tables:
@@ -50,4 +56,5 @@ def discard(*tables: DataFrame) -> None:
 
 
 def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+    """One job whatever the number of partitions; each stops at its first row."""
+    return df.limit(1).count() == 0
