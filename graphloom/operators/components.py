@@ -60,7 +60,7 @@ def component_hubs(graph: Graph, labels: DataFrame) -> DataFrame:
     return best.select("component", (-F.col("m.neg")).alias("hub"), F.col("m.degree").alias("degree"))
 
 
-def cc_thrifty(graph: Graph) -> DataFrame:
+def cc_zero_hub(graph: Graph) -> DataFrame:
     """Labels with 0 for the component of a vertex of largest degree and smallest id + 1 for the others."""
     labels = materialize(cc_pointer_jump(graph), "labels")
     top = symmetric_degree(graph).agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("id"))

@@ -13,7 +13,7 @@ from graphloom.functions import prng
 from graphloom.graphs import HAND_TEXT, Graph, g_main, g_mid, g_skew, g_sparse
 from graphloom.operators import components, degrees, forest, kernels, locality, ordering, partitioning, transform
 from graphloom.runtime import materialize, scratch_dir
-from graphloom.sources import compbin, tables, text_csr
+from graphloom.sources import binary_csr, tables, text_csr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,16 +63,16 @@ def scan_text_csr(spark, sf_dir):
 
 @query
 def scan_compbin(spark, sf_dir):
-    path = f"{scratch_dir(spark)}/compbin-{uuid.uuid4().hex}/hand"
-    compbin.write(hand(spark), path)
-    return compbin.scan(spark, path).edges
+    path = f"{scratch_dir(spark)}/binary-csr-{uuid.uuid4().hex}/hand"
+    binary_csr.write(hand(spark), path)
+    return binary_csr.scan(spark, path).edges
 
 
 @query
 def write_compbin(spark, sf_dir):
-    path = f"{scratch_dir(spark)}/compbin-{uuid.uuid4().hex}/sparse"
-    compbin.write(dense(sparse(spark, sf_dir)), path)
-    return compbin.scan(spark, path).edges
+    path = f"{scratch_dir(spark)}/binary-csr-{uuid.uuid4().hex}/sparse"
+    binary_csr.write(dense(sparse(spark, sf_dir)), path)
+    return binary_csr.scan(spark, path).edges
 
 
 @query
@@ -234,7 +234,7 @@ def validate_symmetrize(spark, sf_dir):
 @query
 def validate_cc(spark, sf_dir):
     graph = mid(spark, sf_dir)
-    return components.labelling_violations(components.cc_min_label(graph), components.cc_thrifty(graph))
+    return components.labelling_violations(components.cc_min_label(graph), components.cc_zero_hub(graph))
 
 
 @query
@@ -301,13 +301,13 @@ def component_hubs(spark, sf_dir):
 
 @query
 def cc_thrifty(spark, sf_dir):
-    return components.cc_thrifty(main(spark, sf_dir))
+    return components.cc_zero_hub(main(spark, sf_dir))
 
 
 @query
 def cc_thrifty_weighted(spark, sf_dir):
     graph = weighted(mid(spark, sf_dir))
-    return components.cc_thrifty(graph.with_edges(transform.drop_weights(graph.edges), weighted=False))
+    return components.cc_zero_hub(graph.with_edges(transform.drop_weights(graph.edges), weighted=False))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graphs import HAND_TEXT, Graph
 from graphloom.operators import components, contraction, degrees, forest, kernels, locality, numbering, ordering, partitioning, transform
-from graphloom.sources import compbin, tables, text_csr
+from graphloom.sources import binary_csr, tables, text_csr
 
 HAND = [(0, 1), (0, 2), (1, 0), (1, 2), (2, 2), (2, 3), (4, 5), (5, 6), (6, 4)]
 
@@ -89,12 +89,12 @@ def test_bad_text_raises(spark, tmp_path, text):
         text_csr.scan(spark, str(tmp_path / "g.txt")).edges.collect()
 
 
-def test_compbin(spark, tmp_path, hand):
-    compbin.write(hand, str(tmp_path / "hand"))
+def test_binary(spark, tmp_path, hand):
+    binary_csr.write(hand, str(tmp_path / "hand"))
     props = dict(x.split(":") for x in (tmp_path / "hand_props.txt").read_text().split())
     assert props == {"vertices-count": "8", "edges-count": "9", "bytes-per-vertex-ID-in-edges-file": "4", "offsets-file": "hand_offsets.bin", "edges-file": "hand_edges.bin"}
     assert (tmp_path / "hand_offsets.bin").stat().st_size == 72 and (tmp_path / "hand_edges.bin").stat().st_size == 36
-    back = compbin.scan(spark, str(tmp_path / "hand"))
+    back = binary_csr.scan(spark, str(tmp_path / "hand"))
     assert pairs(back.edges) == HAND and back.vertices.count() == 8
 
 
@@ -117,7 +117,7 @@ def test_known_answers(spark, hand):
     assert [r.offset for r in partitioning.offsets(Graph(transform.transpose(hand.edges), hand.vertices)).orderBy("id").collect()] == [0, 1, 2, 5, 6, 7, 8, 9]
     assert transform.count_self_edges(hand.edges).first()[0] == 1
     assert transform.symmetrize(hand.edges).count() == 14 and transform.symmetrize(hand.edges, False).count() == 15
-    assert {r.id: r.component for r in components.cc_thrifty(hand).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 5, 5: 5, 6: 5, 7: 8}
+    assert {r.id: r.component for r in components.cc_zero_hub(hand).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 5, 5: 5, 6: 5, 7: 8}
     weighted = transform.add_weights(hand.edges)
     assert sorted(map(tuple, forest.boruvka(weighted).collect())) == [(0, 2, 19121), (1, 2, 707), (2, 3, 36917), (4, 5, 5238), (5, 6, 34142)]
     assert {r.degree: (r.n_vertices, r.mean_aid) for r in locality.aid_by_degree(hand.edges).collect()} == {2: (3, 0.333333)}
@@ -140,7 +140,7 @@ def test_components_and_forest(spark, name):
     assert len(rows) == n - len(set(want.values()))
     assert sum(w for *_, w in rows) == forest.weight_by_kruskal([tuple(r) for r in weighted.edges.collect()])
     assert forest.violations(weighted, found).first()[0] == 0
-    assert components.labelling_violations(components.cc_min_label(g), components.cc_thrifty(g)).first()[0] == 0
+    assert components.labelling_violations(components.cc_min_label(g), components.cc_zero_hub(g)).first()[0] == 0
 
 
 @pytest.mark.parametrize("name", ["random", "dense", "star", "path"])
