@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_order
 from graphloom.graphs import Graph
-from graphloom.operators.numbering import numbered
+from graphloom.operators.numbering import numbered, running_sum
 
 
 def degree_ordering(degree: DataFrame) -> DataFrame:
@@ -24,17 +24,11 @@ def degree_ordering_counting(degree: DataFrame) -> DataFrame:
     """
     cells = degree.withColumn("cell", F.floor(F.col("id") / 65536))
     counts = cells.groupBy("degree", "cell").agg(F.count(F.lit(1)).alias("n"))
-    starts = numbered_cells(counts)
+    starts = running_sum(counts, [F.desc("degree"), F.asc("cell")], "n", "start").select("degree", "cell", "start")
     rank = F.row_number().over(W.partitionBy("degree", "cell").orderBy("id")) - 1
     return cells.withColumn("rank", rank).join(starts, ["degree", "cell"]).select((F.col("start") + F.col("rank")).cast("long").alias("new_id"), F.col("id").alias("old_id"), "degree")
 
 
-def numbered_cells(counts: DataFrame) -> DataFrame:
-    from graphloom.operators.numbering import running_sum
-
-    return running_sum(counts, [F.desc("degree"), F.asc("cell")], "n", "start").select("degree", "cell", "start")
-
-
 def sorted_adjacency(edges: DataFrame) -> DataFrame:
     """``src, pos, dst``: each neighbour with its place in the ascending list of its source."""
     pos = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
