@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, own, row_key, text_or_empty
+from graphloom.llm.common import ascii_lower, row_key, text_or_empty
 from graphloom.runtime import materialize
 
 #: Fixed value: the characters that separate words (in A-Z, a-z, 0-9 and everything outside ASCII are words).
@@ -32,45 +32,50 @@ def windows_of(benchmark: DataFrame, n: int) -> DataFrame:
     """``(item, gram, len)``: each window of each item once. Items without words have none."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("len", F.least(F.size("w"), F.lit(n)))
-    at = F.explode(F.sequence(F.lit(1), F.col("p_last")))
-    grams = items.withColumn("p_last", F.size("w") - F.col("len") + 1).select("item", "len", "w", at.alias("p"))
-    return grams.select("item", F.concat_ws(" ", F.slice("w", F.col("p"), F.col("len"))).alias("gram"), "len").distinct()
+    grams = F.expr(f"transform(sequence(0, size(w) - len), p -> {gram('p', 'len')})")
+    return items.select("item", "len", F.explode(grams).alias("gram")).distinct()
 
 
-def anchor(word, p, length: int) -> Column:
-    """Hash of three words of the window of ``length`` at the 0-based position ``p``; ``word(i)`` gives a word."""
-    return F.xxhash64(word(p), word(p + length // 2), word(p + (length - 1)), F.lit(length))
+def gram(at: str, length: str) -> str:
+    """SQL for the words of ``w`` from a place on, joined by spaces; it touches these words only."""
+    return f"array_join(transform(sequence({at}, {at} + {length} - 1), i -> w[i]), ' ')"
 
 
-def marked_starts(starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda p: F.struct(p.alias("p"), F.lit(length).alias("len")))
+def anchor(at: str, length: int) -> str:
+    """SQL for the hash of three words of the window of ``length`` at the 0-based place ``at`` of the words ``w``."""
+    return f"xxhash64(w[{at}], w[{at} + {length // 2}], w[{at} + {length - 1}], {length})"
+
+
+def candidates(windows: DataFrame, length: int, small: bool) -> Column:
+    """``(p, len)`` of the places of ``w`` that may start a window of ``length``: those whose anchor is in the hash set.
+
+    The set stands in the plan as an ``IN`` list, which Spark tests by hashing. It is no more than a filter: what
+    passes is compared word by word later.
+    """
+    places = f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
+    if small:
+        known = windows.where(F.col("len") == length).select(F.split(F.lower("gram"), " ").alias("w")).select(F.expr(anchor("0", length)).alias("h")).distinct()
+        lowest = "(-9223372036854775807L - 1L)"
+        listed = ", ".join(f"{r[0]}L" if r[0] > -(2**63) else lowest for r in known.collect())  # at most max_windows numbers
+        places = f"filter({places}, p -> {anchor('p', length)} in ({listed}))"
+    return F.expr(f"transform({places}, p -> struct(p as p, {length} as len))")
 
 
 def scan(docs: DataFrame, windows: DataFrame, max_windows: int) -> tuple[DataFrame, bool]:
-    """One row per document: its key, word count and the positions that may start a window."""
-    known = windows.select("len", F.split(F.lower("gram"), " ").alias("w"))
+    """One row per document: key, number of words and candidates (with the text if there are any); whether the set was shipped."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n values
     small = windows.limit(max_windows + 1).count() <= max_windows
-    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.col("text"), words_of(F.lower("text")).alias("w"))
-    found = []
-    for length in lengths:
-        starts = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - length)).otherwise(F.array().cast("array<int>"))
-        if small:
-            own = known.where(F.col("len") == length).select(anchor(lambda i: F.col("w")[i], F.lit(0), length).alias("h")).distinct()
-            listed = ",".join(f"{r[0]}L" if r[0] > -(2**63) else "(-9223372036854775807L - 1L)" for r in own.collect())
-            test = f"filter(if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>)), p -> xxhash64(w[p], w[p + {length // 2}], w[p + {length - 1}], {length}) in ({listed}))"
-            starts = F.expr(test)
-        found.append(marked_starts(starts, length))
+    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text", words_of(F.lower("text")).alias("w"))
+    found = [candidates(windows, length, small) for length in lengths]
     cand = F.concat(*found) if found else F.array().cast("array<struct<p:int,len:int>>")
     rows = rows.select("doc_id", "k_id", "k_text", "text", F.size("w").cast("long").alias("n_words"), cand.alias("cand"))
     return rows.withColumn("text", F.when(F.size("cand") > 0, F.col("text"))), small
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, items (array), contaminated, spans``.
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, items (array), contaminated, covered``.
 
-    ``spans`` holds the covered word ranges ``(from, to)``, merged, 0-based, end exclusive. Null and empty texts
-    have no words and are never contaminated; equal rows get equal results; an empty benchmark hits nothing;
+    ``covered`` holds the places (from 0) of the words inside an occurrence. Null and empty texts have no words and are never contaminated; equal rows get equal results; an empty benchmark hits nothing;
     columns besides ``doc_id`` and ``text`` are not read, so they may have any name.
     """
     windows = materialize(windows_of(benchmark, n), "windows")
@@ -78,17 +83,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_window
     rows = materialize(rows, "decontaminate")
     maybe = rows.where(F.size("cand") > 0)
     exact = maybe.dropDuplicates(["k_id", "k_text"]).select("k_id", "k_text", words_of(ascii_lower(F.col("text"))).alias("w"), "cand")
-    at = exact.select("k_id", "k_text", F.explode(F.transform("cand", lambda c: F.struct(c["p"].alias("p"), c["len"].alias("len"), F.concat_ws(" ", F.slice("w", c["p"] + 1, c["len"])).alias("gram")))).alias("c")).select("k_id", "k_text", "c.*")
+    grams = F.expr(f"transform(cand, c -> struct(c.p as p, c.len as len, {gram('c.p', 'c.len')} as gram))")
+    at = exact.select("k_id", "k_text", F.explode(grams).alias("c")).select("k_id", "k_text", "c.*")
     hits = at.join(F.broadcast(windows) if small else windows, ["gram", "len"])
-    per = hits.groupBy("k_id", "k_text").agg(F.collect_set("item").alias("items"), F.array_sort(F.collect_set(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("len")).alias("b")))).alias("at"))
-    merged = F.expr("aggregate(at, cast(array() as array<struct<a:int,b:int>>), (acc, x) -> if(size(acc) > 0 and acc[size(acc) - 1].b >= x.a, concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].a as a, greatest(acc[size(acc) - 1].b, x.b) as b))), concat(acc, array(x))))")
-    per = per.select("k_id", "k_text", F.array_sort("items").alias("items"), merged.alias("spans"))
-    none = [F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<a:int,b:int>>").alias("spans")]
+    per = hits.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("p", "len")).alias("at"))
+    per = per.select("k_id", "k_text", "items", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.p, x.p + x.len - 1)))))").alias("covered"))
+    none = [F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("covered")]
     joined = maybe.select("doc_id", "k_id", "k_text", "n_words").join(per, ["k_id", "k_text"], "left")
-    joined = joined.select("doc_id", "k_id", "k_text", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("spans", none[1]).alias("spans"))
+    joined = joined.select("doc_id", "k_id", "k_text", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("covered", none[1]).alias("covered"))
     out = rows.where(F.size("cand") == 0).select("doc_id", "k_id", "k_text", "n_words", *none).unionByName(joined)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]).cast("long"))
-    return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.withColumn("n_hit", F.size("covered").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, spans: bool = False) -> DataFrame:
@@ -97,7 +101,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_
     Columns and their order stay. Removing spans rewrites a contaminated text as its remaining words (in the
     original spelling) joined by spaces; other texts stay as they are.
     """
-    found = contamination(docs, benchmark, n, max_windows).where("contaminated").select("k_id", "k_text", "spans").dropDuplicates(["k_id", "k_text"])
+    found = contamination(docs, benchmark, n, max_windows).where("contaminated").select("k_id", "k_text", "covered").dropDuplicates(["k_id", "k_text"])
     found = materialize(found, "contaminated")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
@@ -106,7 +110,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_
     d, f = docs.alias("d"), found.alias("f")
     if not spans:
         return d.join(f, on, "left_anti").select("d.*")
-    i_kept = lambda i: ~F.exists("f.spans", lambda s: (i >= s["a"]) & (i < s["b"]))
-    kept = F.array_join(F.filter(words_of(F.col("d.text")), lambda _, i: i_kept(i)), " ")
-    text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(kept)
-    return d.join(f, on, "left").select(*(text.alias(c) if c == "text" else own(c, "d") for c in docs.columns))
+    both = d.join(f, on, "left").select("d.*", F.col("f.covered").alias("loom_covered"), words_of(F.col("d.text")).alias("loom_w"))
+    kept = F.array_join(F.transform(F.expr("array_except(sequence(0, size(loom_w) - 1), loom_covered)"), lambda i: F.col("loom_w")[i]), " ")
+    text = F.when(F.col("loom_covered").isNull(), F.col("text")).otherwise(kept)
+    return both.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
