@@ -77,7 +77,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min
     per = lines.groupBy("k_id", "k_text").agg(F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("all"), F.collect_set(F.when(F.col("recurs"), F.col("pos"))).alias("loom_drop"))
     per = materialize(per.where((F.size("loom_drop") > 0) & (F.col("again") <= F.col("all") * most)).select("k_id", "k_text", "loom_drop"), "drops")
     key_id, key_text = row_key(F.col("d.doc_id"), F.col("d.text"))
-    both = docs.alias("d").join(per.alias("p"), (key_id == F.col("p.k_id")) & (key_text == F.col("p.k_text")), "left")
+    # one plan at every size: what is dropped grows with the documents, so it is never broadcast
+    both = docs.alias("d").join(per.hint("merge").alias("p"), (key_id == F.col("p.k_id")) & (key_text == F.col("p.k_text")), "left")
     text, drop = F.col("d.text"), F.col("p.loom_drop")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i)), "\n")
     columns = [F.when(drop.isNotNull(), kept).otherwise(text).alias("text") if c == "text" else own(c, "d") for c in docs.columns]
