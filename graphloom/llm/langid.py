@@ -21,16 +21,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import id_crc
+from graphloom.runtime import materialize
 
 #: Bounds of the labelled sample and of the model, for each language: documents, words, n-grams.
 TRAIN_ROWS, WORDS, GRAMS = 3000, 30_000, 30_000
-LONGEST, EVIDENCE, SMOOTH, CACHE = 5, 10, 0.5, 200_000
+LONGEST, EVIDENCE, SMOOTH, CACHE, LONG = 5, 10, 0.5, 200_000, 2_000_000
+#: Languages up to which their sample sizes are broadcast; beyond, they are joined by a shuffle.
+FEW = 10_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+def word_counts(text: str | None) -> Counter:
+    """How often each lower-cased word stands in the text; of a very long one, only different words are held."""
+    text = (text or "").lower()
+    return Counter(LETTERS.findall(text) if len(text) < LONG else (m.group() for m in LETTERS.finditer(text)))
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -95,7 +100,7 @@ class Predictor:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
+        counts = word_counts(text)
         if not counts or not self.model.langs:
             return UNKNOWN, 0.0
         if len(self.seen) > CACHE:
@@ -119,13 +124,16 @@ def train(docs: DataFrame, may=None, rows: int = TRAIN_ROWS) -> Model:
         own = own.where(may)
     span = 1 << 20
     sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("loom_lang"), F.ceil(F.lit(span) * F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n"))).alias("cut"))
+    sizes = materialize(sizes, "languages")
+    if sizes.count() <= FEW:
+        sizes = F.broadcast(sizes)
     picked = own.join(sizes, F.col("lang") == F.col("loom_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.col("cut")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(words_of(text))
+                by.setdefault(lang, Counter()).update(word_counts(text))
             rows = [(lang, w, k) for lang, c in by.items() for w, k in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
