@@ -28,11 +28,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graphloom"
 
 
+#: Bounds of what is handed to a Python worker at once while a table is written.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in BATCH_CONF}
+    try:
+        for k, v in BATCH_CONF.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
