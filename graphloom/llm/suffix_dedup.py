@@ -9,9 +9,10 @@ array, built batch by batch in two stages: suffixes smaller than their successor
 are induced from them by scanning the buckets of first bytes from small to large. Neighbours whose common prefix
 reaches ``length`` repeat each other.
 
-An anchor with more than ``HOT`` different contexts (the edge of a passage that very many documents share) is not
-sorted in one task: each of its starts sends a 128-bit digest of its string, and digests are counted by a
-shuffle, which is linear in the starts and spreads them over all tasks.
+An anchor with more than ``HOT`` different contexts (the edge of a passage that very many documents share) is
+cut into chunks of about that many, each sorted like the others. Across the chunks, each sends one record for
+each different string (a 128-bit digest, and the start if the chunk has only one), packed by digest; strings that
+two chunks have repeat. So no task ever holds all contexts of an anchor, and a string comes once from each chunk.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from graphloom.runtime import discard, materialize
 
 LENGTH, GRAM, HOT = 400, 64, 1000
 #: Bytes of a text that are hashed at once, and bytes of context that are sorted at once.
-PIECE, BATCH = 1 << 23, 1 << 19
+PIECE, BATCH = 1 << 22, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 AT = np.uint64((1 << 28) - 1)
@@ -177,6 +178,11 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int
 
 def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each context, which of its starts begin a string of ``length`` bytes that begins elsewhere in the contexts too."""
+    return strings_of(contexts, length)[0]
+
+
+def strings_of(contexts: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The marks of ``repeated_starts``, and for each different string of ``length`` bytes ``(context, start, repeats)``."""
     raw = b"".join(contexts) + b"\x00" + b"\xff" * (length + 8)
     t = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(c) for c in contexts])
@@ -199,7 +205,11 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndar
     many = np.bincount(group, weights=real) >= 2
     marked = np.zeros(len(raw), bool)
     marked[sa] = many[group] & real
-    return [marked[o : o + n - length + 1] for o, n in zip(offsets, sizes, strict=True)]
+    marks = [marked[o : o + n - length + 1] for o, n in zip(offsets, sizes, strict=True)]
+    _, one = np.unique(group[real], return_index=True)
+    at = sa[real][one]
+    owner = np.searchsorted(offsets, at, side="right") - 1
+    return marks, np.stack([owner, at - offsets[owner], marked[at]], 1)
 
 
 def runs(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -244,44 +254,69 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "k_id string, k_text bigint, g bigint, a bigint, digest binary, context binary")
 
 
-def sort_contexts(entries: DataFrame, length: int) -> DataFrame:
-    """``g, digest, lo, hi``: runs of repeated starts, from ``entries(g, digest, context)`` with each ``g`` in one partition, sorted."""
+RECORD = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("cid", "<i8"), ("s", "<i8")])
+
 
-    def solve(batch: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        rows = [(g, d, lo, hi) for (g, d, _), marks in zip(batch, repeated_starts([c for *_, c in batch], length), strict=True) for lo, hi in runs(marks)]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["g", "digest", "lo", "hi"])
+def packed(contexts: list[tuple[int, bytes]], strings: np.ndarray, length: int, buckets: int) -> list[tuple[int, bytes]]:
+    """Records of the strings of ``contexts(cid, bytes)``, packed by a bucket of their digest; ``s`` is -1 for one that repeats."""
+    digests = b"".join(hashlib.md5(contexts[i][1][s : s + length]).digest() for i, s, _ in strings.tolist())
+    out = np.empty(len(strings), RECORD)
+    d = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    out["d0"], out["d1"] = d[:, 0], d[:, 1]
+    out["cid"] = np.array([c for c, _ in contexts], np.int64)[strings[:, 0]]
+    out["s"] = np.where(strings[:, 2] > 0, -1, strings[:, 1])
+    bucket = (out["d0"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out, bucket = out[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return [(int(bucket[c]), x.tobytes()) for c, x in zip(cuts, np.split(out, cuts[1:]), strict=True)]
+
+
+def sort_contexts(entries: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``cid, lo, hi`` (runs of repeated starts) and ``bucket, records`` (of strings to be met with other chunks).
+
+    ``entries(g, chunk, hot, cid, context)`` has each ``(g, chunk)`` in one partition, sorted.
+    """
+    names, kinds = ["cid", "lo", "hi", "bucket", "records"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def solve(batch: list[tuple]) -> pa.RecordBatch:
+        marks, strings = strings_of([x[4] for x in batch], length)
+        rows = [(x[3], lo, hi, None, None) for x, m in zip(batch, marks, strict=True) for lo, hi in runs(m)]
+        hot = np.array([x[2] for x in batch])
+        if hot.any():
+            rows += [(None, None, None, *r) for r in packed([(x[3], x[4]) for x in batch], strings[hot[strings[:, 0]]], length, buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, size = [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > BATCH and row[0] != batch[-1][0]:
+                if size > BATCH and row[:2] != batch[-1][:2]:
                     yield solve(batch)
                     batch, size = [], 0
                 batch.append(row)
-                size += len(row[2])
+                size += len(row[4])
         if batch:
             yield solve(batch)
 
-    return entries.mapInArrow(run, "g bigint, digest binary, lo bigint, hi bigint")
+    laid = entries.select("g", "chunk", "hot", "cid", "context").repartition("g", "chunk").sortWithinPartitions("g", "chunk")
+    return laid.mapInArrow(run, "cid bigint, lo bigint, hi bigint, bucket bigint, records binary")
 
 
-def digest_contexts(entries: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: strings are counted by digest."""
+def meet_chunks(records: DataFrame) -> DataFrame:
+    """``cid, lo, hi``: starts whose string another chunk has too, from ``records(bucket, records)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                rows = []
-                for g, d, c in zip(*(x.to_pylist() for x in whole.slice(at, 64).columns), strict=True):
-                    rows += [(g, d, s, hashlib.md5(c[s : s + length]).digest()) for s in range(len(c) - length + 1)]
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["g", "digest", "s", "string"])
+        for b in batches:
+            for parts in b.column(1):
+                x = np.frombuffer(b"".join(parts.as_py()), RECORD)
+                x = x[np.lexsort((x["d1"], x["d0"]))]
+                same = (x["d0"][1:] == x["d0"][:-1]) & (x["d1"][1:] == x["d1"][:-1])
+                x = x[(np.r_[False, same] | np.r_[same, False]) & (x["s"] >= 0)]
+                s = pa.array(x["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["cid"]), s, s], ["cid", "lo", "hi"])
 
-    strings = materialize(entries.mapInArrow(run, "g bigint, digest binary, s bigint, string binary"), "strings")
-    often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("string")
-    return strings.join(often, "string", "left_semi").select("g", "digest", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    return records.groupBy("bucket").agg(F.collect_list("records").alias("parts")).mapInArrow(run, "cid bigint, lo bigint, hi bigint")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -302,10 +337,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     classes = materialize(classes, "classes")
     open_ = materialize(classes.groupBy("g").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1").select("g", "different"), "open")
     entries = pieces.join(open_, "g").groupBy("g", "digest").agg(F.first("context").alias("context"), F.first("different").alias("different"))
+    chunks = F.ceil(F.col("different") / HOT)
+    entries = entries.select("g", "digest", "context", F.pmod(F.xxhash64("digest"), chunks).alias("chunk"), (chunks > 1).alias("hot"), F.monotonically_increasing_id().alias("cid"))
     entries = materialize(entries, "entries")
-    sorted_ = sort_contexts(entries.where(F.col("different") <= HOT).select("g", "digest", "context").repartition("g").sortWithinPartitions("g"), length)
-    hot = digest_contexts(entries.where(F.col("different") > HOT).select("g", "digest", "context"), length)
-    marks = materialize(sorted_.unionByName(hot), "marks")
+    buckets = max(16, entries.where("hot").count() // 1000)
+    found = materialize(sort_contexts(entries, length, buckets), "sorted")
+    runs_ = found.where("cid is not null").select("cid", "lo", "hi").unionByName(meet_chunks(found.where("bucket is not null").select("bucket", "records")))
+    marks = materialize(runs_.join(entries.select("cid", "g", "digest"), "cid").select("g", "digest", "lo", "hi"), "marks")
     at = pieces.select("k_id", "k_text", "g", "digest", "a", F.octet_length("context").alias("size"))
     whole = at.join(classes.where("times > 1"), ["g", "digest"]).select("k_id", "k_text", F.col("a").alias("x"), (F.col("a") + F.col("size")).alias("y"))
     part = at.join(marks, ["g", "digest"]).select("k_id", "k_text", (F.col("a") + F.col("lo")).alias("x"), (F.col("a") + F.col("hi") + length).alias("y"))

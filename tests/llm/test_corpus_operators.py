@@ -395,9 +395,10 @@ def test_suffix_array_is_sorted():
     assert sa.tolist() == sorted(range(501), key=lambda p: raw[p:])
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "batch"), [(suffix_dedup.HOT, suffix_dedup.BATCH), (1, 0), (3, 0)])
+def test_suffix_dedup(spark, monkeypatch, hot, batch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(5)
     passage = words(rng, 60)
     rows = [(i, f"{words(rng, rng.randint(0, 30))} {passage[rng.randint(0, 40) :]} {words(rng, rng.randint(0, 30))}", *[None] * 6) for i in range(40)]
