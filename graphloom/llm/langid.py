@@ -45,17 +45,19 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: a row for each language."""
+    """Log frequencies: a row of ``table`` for each known word and n-gram, a column for each language."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
-
-def log_shares(counts: dict[str, Counter], langs: list[str]) -> dict[str, np.ndarray]:
-    keys = sorted(set().union(*counts.values()))
-    table = np.array([[counts[lang].get(k, 0) for lang in langs] for k in keys], float).reshape(-1, len(langs)) + SMOOTH
-    return dict(zip(keys, np.log(table / table.sum(axis=0)), strict=True))
+    def add(self, known: dict[str, int], counts: dict[str, Counter]) -> None:
+        """Take the shares in ``counts`` into the table and the keys' rows into ``known``."""
+        keys = sorted(set().union(*counts.values()))
+        n = np.array([[counts[lang].get(k, 0) for lang in self.langs] for k in keys], float).reshape(-1, len(self.langs)) + SMOOTH
+        known.update(zip(keys, range(len(self.table), len(self.table) + len(keys)), strict=True))
+        self.table = np.concatenate([self.table.reshape(-1, len(self.langs)), np.log(n / n.sum(axis=0))])
 
 
 def fit(counts: dict[str, Counter]) -> Model:
@@ -64,14 +66,14 @@ def fit(counts: dict[str, Counter]) -> Model:
     model = Model(langs)
     if not langs:
         return model
-    model.words = log_shares({lang: Counter(dict(counts[lang].most_common(WORDS))) for lang in langs}, langs)
+    model.add(model.words, {lang: Counter(dict(counts[lang].most_common(WORDS))) for lang in langs})
     for n in range(1, LONGEST + 1):
         by = {lang: Counter() for lang in langs}
         for lang in langs:
             for word, k in counts[lang].items():
                 for g in grams_of(word, n):
                     by[lang][g] += k
-        model.grams |= log_shares({lang: Counter(dict(by[lang].most_common(GRAMS))) for lang in langs}, langs)
+        model.add(model.grams, {lang: Counter(dict(by[lang].most_common(GRAMS))) for lang in langs})
     return model
 
 
@@ -83,13 +85,13 @@ class Predictor:
         self.matrix = np.empty((CACHE, len(model.langs)))
 
     def evidence(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
+        table, known = self.model.table, self.model.words.get(word)
         if known is not None:
-            return known
-        grams = self.model.grams
+            return table[known]
+        get = self.model.grams.get
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if found := [v for g in grams_of(word, n) if (v := grams.get(g)) is not None]:
-                return np.add.reduce(found) / len(found)
+            if rows := [r for g in grams_of(word, n) if (r := get(g)) is not None]:
+                return np.add.reduce(table[rows]) / len(rows)
         return np.zeros(len(self.model.langs))
 
     def place(self, word: str) -> int:
