@@ -372,6 +372,25 @@ def test_near_copies(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_copies_just_above_the_similarity(spark):
+    rng, rows, true = random.Random(12), [], {}
+    for k in range(80):
+        w = words(rng, 300, 10**6).split()
+        for share in (0.017, 0.021, 0.025, 0.03):
+            other = [x if rng.random() > share else "edit" + x for x in w]
+            a, b = ({tuple(v[i : i + 5]) for i in range(296)} for v in (w, other))
+            j = len(a & b) / len(a | b)
+            if 0.76 <= j <= 0.86:
+                true[2 * k] = j
+                rows += [(2 * k, " ".join(w), *[None] * 6), (2 * k + 1, " ".join(other), *[None] * 6)]
+                break
+    of = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    above = [k for k, j in true.items() if j >= 0.8]
+    assert len(above) > 30 and len(true) - len(above) > 5
+    assert all(of[k + 1] == k + 1 for k in true if true[k] < 0.8)
+    assert sum(of[k + 1] == k for k in above) >= 0.95 * len(above)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
