@@ -29,6 +29,8 @@ from graphloom.runtime import is_empty, materialize
 BLOCK_VARIANTS = 4_000_000
 #: Bytes of text whose words are held at once, and shingle hashes whose bits are counted at once.
 PIECE, COUNT = 1 << 22, 1 << 16
+#: Rounds of heads at most, and pairs for each member that are compared at once, before all pairs left are compared.
+ROUNDS, FEW = 6, 4
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -266,10 +268,39 @@ def labelled(docs: DataFrame, similarity: float, bands: int, rows: int, shingle:
 
 
 def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``id, component`` over the links between the head of each bucket and its other members."""
-    heads = members.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("h")).select("key", F.col("h.cid").alias("x"), F.col("h.n").alias("n_x"))
-    todo = members.select("key", F.col("cid").alias("y"), F.col("n").alias("n_y")).join(heads, "key").where("x <> y")
-    return connected_components(similar(todo.select("x", "n_x", "y", "n_y"), sets, similarity))
+    """``id, component`` over the links between ``members(key, cid, n)`` of one bucket.
+
+    A round compares one head of each bucket with the members of other components, then the head leaves: whoever
+    a rejected head left over is compared with the next. Members of one component need no comparison. Once
+    the pairs left are few for the members left, or after ``ROUNDS``, all of them are compared, so no pair that met
+    is passed over and a group of copies is never expanded.
+    """
+    edges = labels = None
+    rest = members
+    for done in range(ROUNDS + 1):
+        here = rest.withColumn("comp", F.col("cid")) if labels is None else rest.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        parts = here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("head"))
+        keys = parts.groupBy("key").agg(F.min(F.struct("size", "comp", "head")).alias("h"), F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("inside"), F.count(F.lit(1)).alias("parts"))
+        keys = keys.where("parts > 1").select("key", F.col("h.comp").alias("head_comp"), F.col("h.head").alias("head"), "all", ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"))
+        keys = materialize(keys, "buckets")
+        rows, pairs = keys.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if not rows:
+            break
+        here = materialize(here.join(keys.select("key", "head", "head_comp"), "key"), "here")
+        last = done == ROUNDS or pairs <= FEW * rows
+        if last:
+            a, b = (here.select("key", F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in ("x", "y"))
+            todo = a.join(b, "key").where("comp_x <> comp_y and x < y")
+        else:
+            heads = here.where("cid = head").select("key", F.col("cid").alias("x"), F.col("n").alias("n_x"))
+            todo = here.where("comp <> head_comp").select("key", F.col("cid").alias("y"), F.col("n").alias("n_y")).join(heads, "key")
+        new = materialize(similar(todo.select("x", "n_x", "y", "n_y"), sets, similarity), "near")
+        edges = new if edges is None else edges.unionAll(new)
+        labels = materialize(connected_components(edges), "linked")
+        if last:
+            break
+        rest = here.where("cid <> head").select("key", "cid", "n")
+    return labels if labels is not None else members.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42) -> DataFrame:

@@ -391,6 +391,16 @@ def test_near_copies_just_above_the_similarity(spark):
     assert sum(of[k + 1] == k for k in above) >= 0.95 * len(above)
 
 
+@pytest.mark.parametrize(("rounds", "few"), [(6, 4), (6, 0), (0, 0)])
+def test_members_that_a_rejected_head_left_over_are_compared(spark, monkeypatch, rounds, few):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "FEW", few)
+    sets = {0: range(100), **{c: [*range(40), *range(1000 * (c % 3 + 1), 1000 * (c % 3 + 1) + 50), -c] for c in range(1, 13)}}
+    members = spark.createDataFrame([(7, c, len(s)) for c, s in sets.items()], "key bigint, cid bigint, n bigint")
+    found = simhash.linked(members, spark.createDataFrame([(c, list(s)) for c, s in sets.items()], "cid bigint, s array<bigint>"), 0.8)
+    assert {r.id: r.component for r in found.collect()} == {c: (c - 1) % 3 + 1 for c in range(1, 13)}
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
