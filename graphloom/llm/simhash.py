@@ -316,14 +316,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows:
     return seen.select("doc_id", "digest").join(of_set, "digest").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **how) -> DataFrame:
-    """One document of each group of near copies: the rows whose ``doc_id`` names their component.
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """One document of each group of near copies: the row with the smallest id, then the smallest hash of its text.
 
-    Rows with a null id are kept only if no row of their group has an id; of rows that repeat an id, one stays.
-    Columns and their order stay.
+    Exactly one row of every group stays, whatever ids are null or repeated; a row with a null id only if no row
+    of its group has an id. Columns and their order stay.
     """
-    groups = near_copies(docs, similarity, **how)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("loom_id")).agg(F.count(F.lit(1)).alias("loom_rows"))
-    first = materialize(first, "kept")
-    kept = docs.join(first.select("loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")), "left_semi")
-    return kept if is_empty(first.where("loom_rows > 1")) else kept.dropDuplicates(["doc_id"])
+    seen, classes = labelled(docs, similarity, bands, rows, shingle, seed)
+    first = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("loom_id"), F.col("first.k_text").alias("loom_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("loom_id")) & (F.col("k_text") == F.col("loom_text"))
+    first = materialize(seen.join(first, same).groupBy("loom_id", "loom_text").agg(F.count(F.lit(1)).alias("loom_rows")), "kept")
+    own_text = F.col("doc_id").eqNullSafe(F.col("loom_id")) & (F.xxhash64("text") == F.col("loom_text"))
+    kept = docs.join(first.where("loom_rows = 1"), own_text, "left_semi")
+    again = first.where("loom_rows > 1")
+    if is_empty(again):
+        return kept
+    return kept.unionByName(docs.join(again, own_text, "left_semi").dropDuplicates(["doc_id", "text"]))

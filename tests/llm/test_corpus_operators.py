@@ -401,6 +401,15 @@ def test_members_that_a_rejected_head_left_over_are_compared(spark, monkeypatch,
     assert {r.id: r.component for r in found.collect()} == {c: (c - 1) % 3 + 1 for c in range(1, 13)}
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (words(rng, 300, 10**6) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (7, c), (8, d), (8, e), (9, e + " tail"), (10, d), (None, a + " tail"), (8, e)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == 5 and {(r.doc_id, r.text) for r in kept} >= {(None, b), (7, c), (8, d), (8, e)}
+    assert sum(r.text.startswith(a) for r in kept) == 1
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
