@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's tokenizer splits a text before it merges bytes.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters per token below which a run counts as random, and the lengths of runs that are looked at.
-MOST, SHORTEST, LONGEST = 2.2, 20, 512
+#: Characters per token below which a run counts as random, and characters that are encoded at once.
+MOST, PIECE = 2.2, 1 << 16
 
 KINDS = ("assign", "access", "hex", "random")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -32,6 +32,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) by their hexadecimal length, and UUIDs.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
+#: What stands before the run of a data URI.
+DATA = re.compile(r"data:[A-Za-z0-9.+/-]*(?:;[A-Za-z0-9=._-]*)*;base64,\Z", re.IGNORECASE)
 HAS_DIGIT, HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
@@ -59,15 +61,15 @@ class Scanner:
         return sorted(found)
 
     def is_random(self, run: str) -> bool:
-        if len(run) > LONGEST or not HAS_DIGIT.search(run) or not HAS_LETTER.search(run) or DIGEST.match(run) or UUID.match(run):
+        if not HAS_DIGIT.search(run) or not HAS_LETTER.search(run) or DIGEST.match(run) or UUID.match(run):
             return False
-        return len(run) < self.most * len(self.encode(run))
+        return len(run) < self.most * sum(len(self.encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans, and all spans."""
         text = text or ""
         base = self.base(text)
-        more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if self.is_random(m.group())]
+        more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if not DATA.search(text, max(0, m.start() - 100), m.start()) and self.is_random(m.group())]
         more = [x for x in more if all(x[2] <= b[0] or b[2] <= x[0] for b in base)] if more else more
         return base, sorted(base + more)
 
@@ -81,8 +83,8 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most: float = MOST) -> D
 
     The counts and the digest are of the base patterns; ``spans`` lists all spans as ``kind:start:end`` in code
     points, by start, then kind. Null is like an empty text: no spans. The vocabulary is read by the driver and
-    broadcast (under 2 MB), so executors need no file. Runs of over ``LONGEST`` characters are encoded data,
-    not keys, and are left to the base patterns.
+    broadcast (under 2 MB), so executors need no file. Runs of any length are judged, each as a whole; encoded
+    data stands out only after ``DATA`` (a data URI) and is left to the base patterns.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks_from(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()

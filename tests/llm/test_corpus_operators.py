@@ -201,6 +201,14 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_long_secrets():
+    rng, scanner = random.Random(5), secret_scan.Scanner(secret_scan.ranks_from())
+    for n in (512, 513, 1620, 200_000):
+        key = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+        assert scanner.spans(f"é use {key} here")[1] == [(6, 3, 6 + n)]
+        assert scanner.spans(f'<img src="data:image/png;base64,{key}">')[1] == []
+
+
 # 4, 7 ---------------------------------------------------------------------------------------------------------
 
 
