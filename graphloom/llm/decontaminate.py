@@ -54,7 +54,7 @@ def candidates(windows: DataFrame, length: int, small: bool) -> Column:
     """
     places = f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
     if small:
-        known = windows.where(F.col("len") == length).select(F.split(F.lower("gram"), " ").alias("w")).select(F.expr(anchor("0", length)).alias("h")).distinct()
+        known = windows.where(F.col("len") == length).select(F.split("gram", " ").alias("w")).select(F.expr(anchor("0", length)).alias("h")).distinct()
         lowest = "(-9223372036854775807L - 1L)"
         listed = ", ".join(f"{r[0]}L" if r[0] > -(2**63) else lowest for r in known.collect())  # at most max_windows numbers
         places = f"filter({places}, p -> {anchor('p', length)} in ({listed}))"
@@ -65,7 +65,7 @@ def scan(docs: DataFrame, windows: DataFrame, max_windows: int) -> tuple[DataFra
     """One row per document: key, number of words and candidates (with the text if there are any); whether the set was shipped."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n values
     small = windows.limit(max_windows + 1).count() <= max_windows
-    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text", words_of(F.lower("text")).alias("w"))
+    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text", words_of(ascii_lower(F.col("text"))).alias("w"))
     found = [candidates(windows, length, small) for length in lengths]
     cand = F.concat(*found) if found else F.array().cast("array<struct<p:int,len:int>>")
     rows = rows.select("doc_id", "k_id", "k_text", "text", F.size("w").cast("long").alias("n_words"), cand.alias("cand"))

@@ -85,6 +85,13 @@ def test_contamination(spark, most):
     assert {r.doc_id: r.text for r in cut.collect() if r.doc_id is not None}[0] == ""
 
 
+@pytest.mark.parametrize("most", [decontaminate.MAX_WINDOWS, 1])
+def test_capital_sigma_before_a_mark_is_found(spark, most):
+    docs = spark.createDataFrame([(1, "see ΟΔΟΣ.Α B c here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "ΟΔΟΣ.Α b C"), (2, "other words")], BENCH)
+    assert [r.n_hit for r in decontaminate.contamination(docs, items, max_windows=most).collect()] == [4]
+
+
 def test_contamination_of_empty_tables(spark):
     docs, rows = corpus(spark)
     none = spark.createDataFrame([], BENCH)
