@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,3 +56,38 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
             held.append(b.slice(int(s), int(e - s)))
     if held:
         yield whole()
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be no column of a table."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def all_of(columns: list[str], side: str | None = None) -> list[Column]:
+    """The columns by their names, whatever signs are in these."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    return [F.col(f"{side}.{q}" if side else q) for q in quoted]
+
+
+#: Keys that count as hot, at most, and rows that a key may have before it can be one.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
+
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str, times: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side`` (unique keys) on ``keys``: hot keys by broadcast, the others by shuffle.
+
+    ``times`` is how many of the ``total`` rows a key of ``side`` has at least. Keys with more than the
+    ``HOT_KEYS``-th part of all rows are hot, so there are never more than ``HOT_KEYS`` of them to broadcast, and no task of
+    the shuffle gets more than that part of the rows for one key.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = side.where(F.col(times) > least), side.where(F.col(times) <= least)
+    here = rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return here.unionByName(rest)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, row_key, text_or_empty
+from graphloom.llm.common import ascii_lower, own, row_key, text_or_empty
 from graphloom.runtime import materialize
 
 #: Fixed value: the characters that separate words (in A-Z, a-z, 0-9 and everything outside ASCII are words).
@@ -75,8 +75,9 @@ def scan(docs: DataFrame, windows: DataFrame, max_windows: int) -> tuple[DataFra
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, items (array), contaminated, covered``.
 
-    ``covered`` holds the places (from 0) of the words inside an occurrence. Null and empty texts have no words and are never contaminated; equal rows get equal results; an empty benchmark hits nothing;
-    columns besides ``doc_id`` and ``text`` are not read, so they may have any name.
+    ``covered`` holds the places (from 0) of the words inside an occurrence. Null and empty texts have no words and are
+    never contaminated; very long ones are tested at every word; equal rows get equal results; an empty benchmark hits
+    nothing, an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not read, so they may have any name.
     """
     windows = materialize(windows_of(benchmark, n), "windows")
     rows, small = scan(docs, windows, max_windows)
@@ -98,19 +99,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_window
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, spans: bool = False) -> DataFrame:
     """``docs`` without its contaminated documents or, with ``spans``, without the words that windows cover.
 
-    Columns and their order stay. Removing spans rewrites a contaminated text as its remaining words (in the
-    original spelling) joined by spaces; other texts stay as they are.
+    Columns and their order stay, whatever their names. Removing spans rewrites a contaminated text as its remaining
+    words (in the original spelling) joined by spaces; other texts stay as they are.
     """
     found = contamination(docs, benchmark, n, max_windows).where("contaminated").select("k_id", "k_text", "covered").dropDuplicates(["k_id", "k_text"])
     found = materialize(found, "contaminated")
     if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+        keys = F.broadcast(found.select("k_id", "k_text"))
+    else:
+        keys = found.select("k_id", "k_text")
     key_id, key_text = row_key(F.col("d.doc_id"), F.col("d.text"))
     on = (key_id == F.col("f.k_id")) & (key_text == F.col("f.k_text"))
-    d, f = docs.alias("d"), found.alias("f")
+    d = docs.alias("d")
     if not spans:
-        return d.join(f, on, "left_anti").select("d.*")
-    both = d.join(f, on, "left").select("d.*", F.col("f.covered").alias("loom_covered"), words_of(F.col("d.text")).alias("loom_w"))
-    kept = F.array_join(F.transform(F.expr("array_except(sequence(0, size(loom_w) - 1), loom_covered)"), lambda i: F.col("loom_w")[i]), " ")
-    text = F.when(F.col("loom_covered").isNull(), F.col("text")).otherwise(kept)
-    return both.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+        return d.join(keys.alias("f"), on, "left_anti")
+    both = d.join(found.alias("f"), on, "left")
+    left = F.filter(words_of(F.col("d.text")), lambda _, i: ~F.array_contains("f.covered", i))
+    text = F.when(F.col("f.covered").isNull(), F.col("d.text")).otherwise(F.array_join(left, " "))
+    return both.select(*(text.alias(c) if c == "text" else own(c, "d") for c in docs.columns))

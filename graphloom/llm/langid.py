@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import id_crc
 from graphloom.runtime import materialize
 
-#: Bounds of the labelled sample and of the model, for each language: documents, words, n-grams.
-TRAIN_ROWS, WORDS, GRAMS = 3000, 30_000, 30_000
+#: Bounds of the labelled sample and of the model, for each language: documents, words, n-grams of each order; words of all languages.
+TRAIN_ROWS, WORDS, GRAMS, ALL_WORDS = 3000, 30_000, 30_000, 3_000_000
 LONGEST, EVIDENCE, SMOOTH, CACHE, LONG = 5, 10, 0.5, 200_000, 2_000_000
 #: Languages up to which their sample sizes are broadcast; beyond, they are joined by a shuffle.
 FEW = 10_000
@@ -35,7 +35,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def word_counts(text: str | None) -> Counter:
     """How often each lower-cased word stands in the text; of a very long one, only different words are held."""
     text = (text or "").lower()
-    return Counter(LETTERS.findall(text) if len(text) < LONG else (m.group() for m in LETTERS.finditer(text)))
+    counts = Counter(LETTERS.findall(text) if len(text) < LONG else (m.group() for m in LETTERS.finditer(text)))
+    for word in [w for w in counts if not w.isalpha()] if not "".join(counts).isalpha() else ():  # superscripts, fractions and the like are no letters
+        n = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += n
+    return counts
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -78,35 +83,39 @@ def fit(counts: dict[str, Counter]) -> Model:
 
 
 class Predictor:
-    """Keeps the evidence of the words it has seen, up to ``CACHE`` of them, in the rows of one matrix."""
+    """Rows of one matrix: those of the known words, then the evidence of up to ``CACHE`` unseen words that texts held."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.seen = model, {}
-        self.matrix = np.empty((CACHE, len(model.langs)))
+        self.model, self.base = model, len(model.table)
+        self.matrix = np.concatenate([model.table.reshape(self.base, len(model.langs)), np.empty((CACHE, len(model.langs)))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen, self.next = dict(self.model.words), self.base
+        self.matrix = self.matrix[: self.base + CACHE]
 
     def evidence(self, word: str) -> np.ndarray:
-        table, known = self.model.table, self.model.words.get(word)
-        if known is not None:
-            return table[known]
-        get = self.model.grams.get
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if rows := [r for g in grams_of(word, n) if (r := get(g)) is not None]:
-                return np.add.reduce(table[rows]) / len(rows)
+        """The mean of the longest known n-grams of an unseen word."""
+        get, w, most = self.model.grams.get, f"<{word}>", len(word) + 2
+        for n in range(min(LONGEST, most), 0, -1):
+            if rows := [r for i in range(most - n + 1) if (r := get(w[i : i + n])) is not None]:
+                return np.add.reduce(self.model.table[rows]) / len(rows)
         return np.zeros(len(self.model.langs))
 
     def place(self, word: str) -> int:
-        at = self.seen[word] = len(self.seen)
+        at = self.seen[word] = self.next
         if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+            self.matrix = np.concatenate([self.matrix, np.empty((CACHE, len(self.model.langs)))])
         self.matrix[at] = self.evidence(word)
+        self.next += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = word_counts(text)
         if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.seen) > CACHE:
-            self.seen, self.matrix = {}, self.matrix[:CACHE]
+        if self.next > self.base + CACHE:
+            self.forget()
         get, place = self.seen.get, self.place
         rows = [place(w) if (at := get(w)) is None else at for w in counts]
         n = sum(counts.values())
@@ -119,7 +128,8 @@ class Predictor:
 def train(docs: DataFrame, may=None, rows: int = TRAIN_ROWS) -> Model:
     """Fit on a bounded sample: of each language about ``rows`` documents, those with the smallest hashes of their id.
 
-    Rows with a null language, id or text teach nothing.
+    Rows with a null language, id or text teach nothing. The driver gets the ``WORDS`` most frequent words of each
+    language and never more than ``ALL_WORDS``, however many languages there are.
     """
     own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if may is not None:
@@ -127,7 +137,9 @@ def train(docs: DataFrame, may=None, rows: int = TRAIN_ROWS) -> Model:
     span = 1 << 20
     sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("loom_lang"), F.ceil(F.lit(span) * F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n"))).alias("cut"))
     sizes = materialize(sizes, "languages")
-    if sizes.count() <= FEW:
+    langs = sizes.count()
+    most = max(1, min(WORDS, ALL_WORDS // max(langs, 1)))
+    if langs <= FEW:
         sizes = F.broadcast(sizes)
     picked = own.join(sizes, F.col("lang") == F.col("loom_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.col("cut")).select("lang", "text")
 
@@ -140,7 +152,7 @@ def train(docs: DataFrame, may=None, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
     sums = picked.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = sums.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= WORDS)
+    top = sums.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
     counts: dict[str, Counter] = {}
     for r in top.select("lang", "word", "n").toLocalIterator():
         counts.setdefault(r[0], Counter())[r[1]] = r[2]
@@ -163,8 +175,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row; the held-out fold teaches nothing.
 
-    Only the text is an input of a prediction, so equal texts get equal answers. Without any labelled row every
-    answer is ``und``.
+    Only the text is an input of a prediction, so equal texts get equal answers. A text that is null, empty or
+    without a letter is ``und``, score 0. Texts of any length are read whole; of very long ones only different words
+    are held. Without any labelled row every answer is ``und``; an empty table gives no rows. Columns besides
+    ``doc_id``, ``text`` and ``lang`` are not read, so they may have any name.
     """
     fold = F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == held
     out = predicted(docs.select("doc_id", "text"), train(docs, ~fold, rows)).select("doc_id", "loom_pred")

@@ -1,86 +1,146 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-A line is split at white space and tokens with digits become ``<*>``, unless they are over half of the line. The tree has the number of tokens on its
-first level and the leading tokens on the next ``depth`` levels. In a leaf that holds different lines, a
-position keeps its token if that token stands there in at least ``min_docs`` texts; otherwise it is a variable
-field, ``<*>``. A line follows its leaf's generalised form if at least ``similarity`` of its tokens are
-constant, and else stands for itself. A template that recurs in at least ``min_docs`` different texts is
-dropped from every document that has it.
-
-Copies of a whole text count once, and a document of which more than ``most`` of the words recur is left
-whole: that is a copied document, the business of near-duplicate detection.
+A line is split at white space and tokens with digits become ``<*>``, unless they are over half of the line. The
+tree has the number of tokens on its first level and the leading tokens on the next ``depth`` levels. A leaf
+that holds different lines of enough texts generalises them: each token of a line is weighed by the texts of the leaf
+that have it at the same place, and the line's template keeps the ``similarity`` share of its tokens that weigh
+most (and those that weigh as much); the others are variable fields, ``<*>``. The weights are compared inside the
+line, so a field stays a field however many documents there are, and several templates may share a leaf. A line
+whose kept tokens do not all stand in enough texts is a template by itself.
+
+A template that recurs in enough different texts is dropped from every document that has it: in ``min_docs`` texts
+or, from ``long`` tokens on, where chance repeats nothing, in ``long_docs``. Copies of a text are one text. Documents
+that are near copies of each other are no more witnesses than one: where over ``copied`` of a document's words are
+in two or more such templates, it counts by the rarest of these, which its copies share. A document of one line
+only is no witness, since its line is the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import own, row_key, text_or_empty
+from graphloom.llm.common import fresh, own, row_key, split_join, text_or_empty
 from graphloom.runtime import discard, materialize
 
 WILD = "<*>"
-BROADCAST_ROWS = 500_000
+MIN_DOCS, LONG, LONG_DOCS = 8, 50, 3
+
+
+def digest(text: Column) -> Column:
+    """60 bits of the MD5 as a number that any engine gives."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``k_id, k_text, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
+    """``k_id, k_text, alone, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
-    split = keyed.select("k_id", "k_text", F.posexplode("lines").alias("pos", "line"))
-    raw = split.select("k_id", "k_text", "pos", "line", F.split(F.trim("line"), r"\s+").alias("raw"))
+    alone = F.size(F.filter("lines", lambda line: F.trim(line) != "")) == 1
+    split = keyed.select("k_id", "k_text", alone.alias("alone"), F.posexplode("lines").alias("pos", "line"))
+    raw = split.select("k_id", "k_text", "alone", "pos", "line", F.split(F.trim("line"), r"\s+").alias("raw"))
     masked = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
     mostly_words = F.size(F.filter("raw", lambda t: ~t.rlike("[0-9]"))) * 2 >= F.size("raw")
-    toks = raw.select("k_id", "k_text", "pos", F.when(F.col("line").rlike("[0-9]") & mostly_words, masked).otherwise(F.col("raw")).alias("tokens"))
+    toks = raw.select("k_id", "k_text", "alone", "pos", F.when(F.col("line").rlike("[0-9]") & mostly_words, masked).otherwise(F.col("raw")).alias("tokens"))
     toks = toks.withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", *(F.get("tokens", F.lit(i)) for i in range(depth)))
-    return toks.select("k_id", "k_text", "pos", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("form"), "tokens")
-
-
-def templates(lines: DataFrame, depth: int, min_docs: int, similarity: float) -> DataFrame:
-    """``lines`` with ``template``: the hash of the generalised form that each line follows."""
-    leaves = lines.groupBy("leaf", "k_text").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    varied = materialize(leaves.where((F.col("texts") >= min_docs) & (F.col("lo") != F.col("hi"))).select("leaf"), "leaves")
-    some = F.broadcast(varied) if varied.count() <= BROADCAST_ROWS else varied
-    inside = lines.join(some, "leaf", "left_semi")
-    cells = inside.select("leaf", "k_text", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= depth)
-    constant = cells.groupBy("leaf", "at", "token", "k_text").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs)
-    forms = constant.groupBy("leaf").agg(F.collect_set(F.struct("at", "token")).alias("constant"))
-    forms = materialize(forms, "forms")
-    few = F.broadcast(forms) if forms.count() <= BROADCAST_ROWS // 10 else forms
-    known = lines.join(few, "leaf", "left")
-    general = F.transform("tokens", lambda t, i: F.when((i < depth) | F.array_contains("constant", F.struct(i.alias("at"), t.alias("token"))), t).otherwise(WILD))
-    known = known.withColumn("general", F.when(F.col("constant").isNotNull(), general))
-    fixed = F.size(F.filter("general", lambda t: t != WILD))
-    follows = F.col("general").isNotNull() & (fixed >= F.col("n") * similarity)
-    template = F.when(follows, F.xxhash64("general")).otherwise(F.col("form"))
-    return known.select("k_id", "k_text", "pos", "n", template.alias("template"))
-
-
-def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_tokens: int = 3, similarity: float = 0.7) -> DataFrame:
-    """``k_id, k_text, pos, n, recurs`` for each line with enough tokens."""
+    return toks.select("k_id", "k_text", "alone", "pos", "n", leaf.alias("leaf"), digest(F.array_join("tokens", " ")).alias("form"), "tokens")
+
+
+def generalised(inside: DataFrame, total: int, depth: int, similarity: float, need: Column) -> DataFrame:
+    """``leaf, form, template, lines`` for the lines ``inside`` varied leaves (written, with the leaf's ``texts``) that follow a template."""
+    cells = inside.select("leaf", "n", "k_text", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= depth)
+    weights = cells.groupBy("leaf", "n", "at", "token", "k_text").agg(F.count(F.lit(1)).alias("rows")).groupBy("leaf", "n", "at", "token").agg(F.count(F.lit(1)).alias("weight"), F.sum("rows").alias("rows"))
+    # lighter tokens can neither be kept nor change which are
+    weights = materialize(weights.where(F.col("weight") >= need).select("leaf", "at", "token", "weight", "rows"), "weights")
+    forms = materialize(inside.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.first("texts").alias("texts"), F.count(F.lit(1)).alias("lines")), "forms")
+    spread = forms.select("leaf", "form", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= depth)
+    weighed = split_join(spread, weights, ["leaf", "at", "token"], "inner", "weight", total)
+    per = weighed.groupBy("leaf", "form").agg(F.collect_list(F.struct("weight", "at", "token")).alias("held"))
+    known = forms.join(per, ["leaf", "form"], "left").select("leaf", "form", "lines", "n", "texts", F.slice("tokens", 1, depth).alias("lead"), F.coalesce("held", F.array().cast("array<struct<weight:bigint,at:int,token:string>>")).alias("held"))
+    lead = F.least(F.lit(depth), F.col("n"))
+    rank = F.ceil(F.col("n") * F.lit(similarity)).cast("int") - lead
+    sorted_ = F.reverse(F.array_sort(F.transform("held", lambda x: x["weight"])))
+    least = F.when(rank <= 0, F.col("texts")).otherwise(F.get(sorted_, rank - 1))
+    known = known.withColumn("least", least).where(F.col("least").isNotNull())
+    kept = F.array_sort(F.transform(F.filter("held", lambda x: x["weight"] >= F.col("least")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+    name = F.concat_ws(" ", F.col("n").cast("string"), "lead", F.transform(kept, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["token"])))
+    out = materialize(known.select("leaf", "form", "lines", digest(name).alias("template")), "generalised")
+    discard(weights, forms)
+    return out
+
+
+def templates(lines: DataFrame, depth: int, similarity: float, need: Column) -> DataFrame:
+    """``k_id, k_text, alone, pos, n, template`` of ``lines`` (written): the hash of what each line is an instance of."""
+    total = lines.count()
+    leaves = lines.groupBy("leaf", "n", "k_text").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    leaves = leaves.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
+    varied = materialize(leaves.where((F.col("texts") >= need) & (F.col("lo") != F.col("hi"))).select("leaf", "texts", "rows"), "leaves")
+    inside = materialize(split_join(lines, varied, ["leaf"], "inner", "rows", total).drop("rows"), "inside")
+    known = generalised(inside, total, depth, similarity, need)
+    columns = ["k_id", "k_text", "alone", "pos", "n"]
+    general = split_join(inside.select(*columns, "leaf", "form"), known, ["leaf", "form"], "left", "lines", total)
+    outside = split_join(lines, varied.select("leaf", "rows", F.lit(True).alias("varied")), ["leaf"], "left", "rows", total).where("varied is null")
+    out = general.select(*columns, F.coalesce("template", "form").alias("template")).unionByName(outside.select(*columns, F.col("form").alias("template")))
+    out = materialize(out, "templates")
+    discard(varied, inside, known)
+    return out
+
+
+def witnesses(lines: DataFrame, often: DataFrame, total: int, copied: float) -> DataFrame:
+    """``template, witness``, once each: the texts that the templates in ``often(template, texts, rows)`` stand in, copies by their family."""
+    marked = split_join(lines, often, ["template"], "left", "rows", total)
+    again = F.when(F.col("texts").isNotNull(), F.col("n")).otherwise(0)
+    own_ = F.when(F.col("texts").isNotNull(), F.col("template"))
+    per = marked.groupBy("k_text").agg(F.sum(again).alias("again"), F.sum("n").alias("all"), F.min(F.when(F.col("texts").isNotNull(), F.struct("texts", "template"))).alias("rarest"), F.min(own_).alias("lo"), F.max(own_).alias("hi"), F.max("alone").alias("alone"))
+    copy = (F.col("again") > F.col("all") * copied) & (F.col("lo") != F.col("hi"))
+    special = materialize(per.where("lo is not null").where(F.col("alone") | copy).select("k_text", "alone", F.col("rarest.template").alias("family")), "families")
+    pairs = marked.where("texts is not null").select("template", "k_text").distinct()
+    found = pairs.join(special, "k_text", "left").where(~F.coalesce("alone", F.lit(False)))
+    family = F.when(F.col("family").isNotNull(), F.concat(F.lit("copies "), F.col("family").cast("string"))).otherwise(F.concat(F.lit("text "), F.col("k_text").cast("string")))
+    return found.select("template", family.alias("witness")).distinct()
+
+
+def recurring(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float, long: int, long_docs: int, copied: float) -> DataFrame:
+    """``k_id, k_text, pos`` of each line to drop."""
+    need = F.when(F.col("n") >= long, long_docs).otherwise(min_docs)
     read = materialize(lines_of(docs, depth, min_tokens), "lines")
-    lines = materialize(templates(read, depth, min_docs, similarity), "templates")
+    lines = templates(read, depth, similarity, need)
     discard(read)
-    texts = lines.groupBy("template", "k_text").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
-    often = materialize(texts.where(F.col("texts") >= min_docs).select("template", F.lit(True).alias("recurs")), "recurring")
-    some = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    return lines.join(some, "template", "left").select("k_id", "k_text", "pos", "n", F.coalesce("recurs", F.lit(False)).alias("recurs"))
+    total = lines.count()
+    texts = lines.groupBy("template", "n", "k_text").agg(F.count(F.lit(1)).alias("rows")).groupBy("template", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
+    often = materialize(texts.where(F.col("texts") >= need), "often")
+    seen = witnesses(lines, often.select("template", "texts", "rows"), total, copied).groupBy("template").agg(F.count(F.lit(1)).alias("witnesses"))
+    dropped = materialize(often.join(seen, "template").where(F.col("witnesses") >= need).select("template", "rows"), "recurring")
+    return split_join(lines.select("k_id", "k_text", "pos", "template"), dropped, ["template"], "inner", "rows", total).select("k_id", "k_text", "pos")
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 8, min_tokens: int = 3, similarity: float = 0.7, most: float = 0.8) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, plus ``n_dropped`` and ``n_lines``.
+def drop_recurring_lines(
+    docs: DataFrame, depth: int = 3, min_docs: int = MIN_DOCS, min_tokens: int = 3, similarity: float = 0.7, long: int = LONG, long_docs: int = LONG_DOCS, copied: float = 0.8, n_dropped: str = "n_dropped", n_lines: str = "n_lines"
+) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text``, plus their number and that of all lines.
 
-    Every row stays, with all its columns. Null texts stay null; blank and short lines always stay; equal rows
-    lose the same lines; an empty table gives an empty table.
+    Every row stays, with all its columns; a column that has the name of one of the two numbers is replaced. Null texts
+    stay null and have no lines; an empty text has one, which is blank; blank lines and those of under ``min_tokens``
+    tokens always stay. Very long texts are one row, very long lines one template. Equal rows lose the same lines. An
+    empty table gives an empty table.
     """
-    lines = recurring(docs, depth, min_docs, min_tokens, similarity)
-    per = lines.groupBy("k_id", "k_text").agg(F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("all"), F.collect_set(F.when(F.col("recurs"), F.col("pos"))).alias("loom_drop"))
-    per = materialize(per.where((F.size("loom_drop") > 0) & (F.col("again") <= F.col("all") * most)).select("k_id", "k_text", "loom_drop"), "drops")
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is a share of the tokens")
+    lines = recurring(docs, depth, min_docs, min_tokens, similarity, long, long_docs, copied)
+    per = materialize(lines.groupBy("k_id", "k_text").agg(F.collect_set("pos").alias("gone")), "drops")
     key_id, key_text = row_key(F.col("d.doc_id"), F.col("d.text"))
     # one plan at every size: what is dropped grows with the documents, so it is never broadcast
     both = docs.alias("d").join(per.hint("merge").alias("p"), (key_id == F.col("p.k_id")) & (key_text == F.col("p.k_text")), "left")
-    text, drop = F.col("d.text"), F.col("p.loom_drop")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i)), "\n")
-    columns = [F.when(drop.isNotNull(), kept).otherwise(text).alias("text") if c == "text" else own(c, "d") for c in docs.columns]
+    text, gone = F.col("d.text"), F.col("p.gone")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
-    return both.select(*columns, F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), n.cast("long").alias("n_lines"))
+    columns = [F.when(gone.isNotNull(), kept).otherwise(text).alias("text") if c == "text" else own(c, "d") for c in docs.columns if c.lower() not in (n_dropped, n_lines)]
+    return both.select(*columns, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped), n.cast("long").alias(n_lines))
+
+
+def drop_lines_only(docs: DataFrame, n_chars: str = "n_chars", **how) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text``; the same columns. ``n_chars``, if there is one, follows the new text."""
+    n_dropped, n_lines = fresh(docs.columns, "n_dropped", "n_lines")
+    out = drop_recurring_lines(docs, n_dropped=n_dropped, n_lines=n_lines, **how).alias("d")
+    length = F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col(f"`{n_chars}`")) if n_chars in docs.columns else None
+    return out.select(*(length.cast(docs.schema[c].dataType).alias(c) if c == n_chars else own(c, "d") for c in docs.columns))

@@ -32,10 +32,8 @@ t as (select *, case when source_size > 0 then target / source_size else 0 end r
 c as (select source, chunk, coalesce(sum(count(*)) over (partition by source order by chunk rows between unbounded preceding and 1 preceding), 0)::bigint base from k group by source, chunk),
 p as (select k.doc_id, k.source, k.size, t.source_size, t.target, t.rate, c.base + row_number() over (partition by k.source, k.chunk order by k.size, k.doc_id nulls first, k.k) nr
   from k join c on k.source is not distinct from c.source and k.chunk = c.chunk join t on k.source is not distinct from t.source),
-u as (select source, range trial, ('0x' || substr(md5('mix:' || coalesce(source, 'null') || ':' || range), 1, 8))::bigint / 4294967296::double u from s, range(32)),
-o as (select p.source, trial, any_value(u) u, abs(sum(size * (floor(nr * rate + u) - floor((nr - 1) * rate + u))) - any_value(target)) off from p join u on p.source is not distinct from u.source group by p.source, trial),
-z as (select source, u from o qualify row_number() over (partition by source order by off, trial) = 1)
-select doc_id, size, source_size, target, (size * (floor(nr * rate + u) - floor((nr - 1) * rate + u)))::bigint taken from p join z on p.source is not distinct from z.source"""
+u as (select source, ('0x' || substr(md5('mix:' || coalesce(source, 'null')), 1, 8))::bigint / 4294967296::double u from s)
+select doc_id, size, source_size, target, (size * (floor(nr * rate + u) - floor((nr - 1) * rate + u)))::bigint taken from p join u on p.source is not distinct from u.source"""
 
 EMBED = """with recursive e as (select vec_id id, embedding::double[] x from embeddings where vec_id is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
@@ -46,21 +44,28 @@ select vec_id, coalesce(n, 0) n_links, component component_id, vec_id = componen
 from embeddings join cc on id = vec_id left join (select src, count(*) n from s group by src) on src = vec_id"""
 
 LINES = r"""with d as (select row_number() over () rid, doc_id, text, string_split(text, chr(10)) ls from documents),
-l as (select rid, text k, unnest(range(len(ls))) pos, unnest(ls) line from d where text is not null),
-q as (select rid, k, pos, regexp_split_to_array(trim(line), '\s+') raw from l),
-m as (select rid, k, pos, case when len(list_filter(raw, lambda t: not regexp_matches(t, '[0-9]'))) * 2 >= len(raw)
+l as (select rid, text k, len(list_filter(ls, lambda x: trim(x) <> '')) = 1 alone, unnest(range(len(ls))) pos, unnest(ls) line from d where text is not null),
+q as (select rid, k, alone, pos, regexp_split_to_array(trim(line), '\s+') raw from l),
+m as (select rid, k, alone, pos, case when len(list_filter(raw, lambda t: not regexp_matches(t, '[0-9]'))) * 2 >= len(raw)
   then list_transform(raw, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) else raw end tokens from q),
-f as (select rid, k, pos, tokens, len(tokens) n, tokens[1:3] lead from m where len(tokens) >= 3),
-v as (select n, lead from f group by all having count(distinct k) >= 8 and count(distinct tokens) > 1),
-x as (select n, lead, k, unnest(range(n)) i, unnest(tokens) token from f semi join v using (n, lead)),
-c as (select n, lead, list(struct_pack(i := i, token := token)) held from (select n, lead, i, token from x where i >= 3 group by all having count(distinct k) >= 8) group by n, lead),
-g as (select f.*, case when held is not null then list_transform(tokens, lambda t, i: case when i <= 3 or list_contains(held, struct_pack(i := i - 1, token := t)) then t else '<*>' end) end general from f left join c using (n, lead)),
-t as (select rid, k, pos, n, case when general is not null and len(list_filter(general, lambda t: t <> '<*>')) >= n * 0.7 then general else tokens end template from g),
-o as (select template from t group by template having count(distinct k) >= 8),
-r as (select rid, n, pos, o.template is not null again from t left join o using (template)),
-p as (select rid, list(pos) filter (again) gone from r group by rid having count(*) filter (again) > 0 and sum(n) filter (again) <= sum(n) * 0.8)
+f as (select rid, k, alone, pos, tokens, len(tokens) n, tokens[1:3] lead, case when len(tokens) >= 50 then 3 else 8 end need from m where len(tokens) >= 3),
+v as (select n, lead, count(distinct k) texts from f group by n, lead, need having count(distinct k) >= need and count(distinct tokens) > 1),
+x as (select n, lead, need, k, unnest(range(n)) i, unnest(tokens) token from f semi join v using (n, lead)),
+w as (select n, lead, i, token, count(distinct k) weight from x where i >= 3 group by n, lead, need, i, token having count(distinct k) >= need),
+s as (select distinct tokens, n, lead, texts from f join v using (n, lead)),
+c as (select tokens, n, lead, unnest(range(n)) i, unnest(tokens) token from s),
+h as (select tokens, list(struct_pack(i := i, token := token, weight := weight) order by i) held, list(weight order by weight desc) ws from c join w using (n, lead, i, token) group by tokens),
+e as (select s.tokens, n, lead, held, case when ceil(n * 0.7) <= 3 then texts else ws[(ceil(n * 0.7) - 3)::int] end low from s left join h using (tokens)),
+g as (select tokens, array_to_string(list_concat([n::varchar], lead, list_transform(list_filter(coalesce(held, []), lambda y: y.weight >= low), lambda y: y.i || ':' || y.token)), ' ') name from e where low is not null),
+t as (select rid, f.k, alone, pos, n, need, ('0x' || substr(md5(coalesce(name, array_to_string(f.tokens, ' '))), 1, 15))::bigint as template from f left join g using (tokens)),
+o as (select template, count(distinct k) texts from t group by template, need having count(distinct k) >= need),
+r as (select t.*, o.texts from t left join o using (template)),
+p as (select k, any_value(alone) alone, count(distinct template) filter (texts is not null) > 1 and sum(n) filter (texts is not null) > sum(n) * 0.8 as copied, min(struct_pack(texts := texts, template := template)) filter (texts is not null) rarest from r group by k),
+z as (select distinct r.template, need, case when copied then 'copies ' || rarest.template else 'text ' || r.k end witness from r join p using (k) where texts is not null and not p.alone),
+u as (select template from z group by template, need having count(*) >= need),
+gone as (select rid, list(pos) gone from t semi join u using (template) group by rid)
 select doc_id, coalesce(len(ls), 0)::bigint n_lines, coalesce(len(gone), 0)::bigint n_dropped,
-  case when gone is null then text else array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i - 1)), chr(10)) end as text from d left join p using (rid)"""
+  case when gone is null then text else array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i - 1)), chr(10)) end as text from d left join gone using (rid)"""
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,

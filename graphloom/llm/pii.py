@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-#: What the field looks at: runs with a digit, and the two ways to write an address around an at sign.
-TRIGGER = re.compile(r"[0-9]+|@|\((?:at|AT)\)|\[(?:at|AT)\]|(?<=\s)(?:at|AT)(?=\s[A-Za-z0-9-]+\s(?:dot|DOT)\s)")
+#: What the field looks at: whole runs of digits and what may stand between them, and both sides of an at sign, however it is written.
+NUMBERS = re.compile(r"[+(]*[0-9](?:[0-9+().\[\]/\-]|\s|dot)*+")
+AT = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]|(?<=\s)(?:at|AT)(?=\s[A-Za-z0-9-]+\s(?:dot|DOT)\s)")
+HOST = re.compile(r"\s?[A-Za-z0-9-]+(?:(?:\.|\s(?:dot|DOT)\s|\s?[(\[](?:dot|DOT)[)\]]\s?)[A-Za-z]{2,})+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
-AROUND, LONGEST, WINDOW = 40, 24, 4000
+#: Tokens of an entity at most (a local part has 64 characters at most, a number 19 digits), its digits if it is a number.
+LONGEST, MOST_DIGITS = 128, 19
 #: Words that announce a type.
 CUES = {"email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax")}
 
@@ -106,50 +112,85 @@ NAMES = [f"{kind}:{f}" for kind, fs in enumerate((("plain", "words"), ("range",
 PLACE = {name: i for i, name in enumerate(NAMES)}
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, np.ndarray]]]:
-    """Tokens of a window, and ``(first, last + 1, kind, features)`` of the segments that could be entities."""
-    toks = [m.span() for m in TOKEN.finditer(text, start, end)]
-    out = []
+def segments(text: str, toks: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, dict[str, float]]]:
+    """``(first, last + 1, kind, features)`` of the segments of a window that could be entities, by their first token."""
+    digits = list(accumulate((b - a if text[a] in "0123456789" else 0 for a, b in toks), initial=0))
+    ats = [k for k, (a, b) in enumerate(toks) if text[a:b] in ("@", "at", "AT")]
     for i, (a, _) in enumerate(toks):
         if not (text[a].isascii() and text[a].isalnum() or text[a] in "+("):
             continue
+        k = bisect_right(ats, i)
+        last = ats[k] if k < len(ats) else len(toks)
+        before = text[max(0, a - 24) : a]
         for j in range(i + 1, min(len(toks), i + LONGEST) + 1):
-            b = toks[j - 1][1]
-            if not (text[b - 1].isascii() and text[b - 1].isalnum()):
+            if j <= last and (digits[j] - digits[i] > MOST_DIGITS or text[toks[j - 1][0]].isalpha() and text[toks[j - 1][0] : toks[j - 1][1]] != "dot"):
+                if last - i >= LONGEST or last == len(toks):
+                    break  # no number any more, and no address
                 continue
-            for kind, fs in shape(text[a:b], text[max(0, a - 24) : a], text[b : b + 4]).items():
-                x = np.zeros(len(NAMES))
-                for f, v in fs.items():
-                    x[PLACE[f"{kind}:{f}"]] = v
-                out.append((i, j, kind, x))
+            b = toks[j - 1][1]
+            n = digits[j] - digits[i]
+            if text[b - 1].isascii() and text[b - 1].isalnum() and (j > last or n >= 7 or n >= 4 and j - i >= 7):
+                for kind, fs in shape(text[a:b], before, text[b : b + 4]).items():
+                    yield i, j, kind, fs
+
+
+def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, np.ndarray]]]:
+    """Tokens of a window, and its segments with their features as vectors."""
+    toks = [m.span() for m in TOKEN.finditer(text, start, end)]
+    out = []
+    for i, j, kind, fs in segments(text, toks):
+        x = np.zeros(len(NAMES))
+        for f, v in fs.items():
+            x[PLACE[f"{kind}:{f}"]] = v
+        out.append((i, j, kind, x))
     return toks, out
 
 
-def marginals(n: int, segs: list[tuple[int, int, int, np.ndarray]], scores: np.ndarray) -> tuple[np.ndarray, float]:
-    """Probability of each candidate under the field, and the log partition function."""
-    ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-    for k, (i, j, *_) in enumerate(segs):
-        ends[j].append(k)
-        starts[i].append(k)
-    fore, back = np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(1, n + 1):
-        fore[j] = np.logaddexp.reduce([fore[j - 1], *(fore[segs[k][0]] + scores[k] for k in ends[j])])
-    for i in range(n - 1, -1, -1):
-        back[i] = np.logaddexp.reduce([back[i + 1], *(back[segs[k][1]] + scores[k] for k in starts[i])])
-    return np.array([np.exp(fore[i] + scores[k] + back[j] - fore[n]) for k, (i, j, *_) in enumerate(segs)]), float(fore[n])
-
-
-def decode(n: int, segs: list[tuple[int, int, int, np.ndarray]], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation: ``(first, last + 1, kind)`` of its entities."""
-    ends = [[] for _ in range(n + 1)]
-    for i, j, kind, x in segs:
-        ends[j].append((i, kind, float(x @ weights)))
+def lattice(segs: list[tuple]) -> tuple[int, list[tuple[int, int]]]:
+    """The places where segments start or end, as numbers without gaps: how many there are, and both ends of each segment."""
+    place = {at: k for k, at in enumerate(sorted({s[0] for s in segs} | {s[1] for s in segs}))}
+    return len(place), [(place[s[0]], place[s[1]]) for s in segs]
+
+
+def log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
+def marginals(places: int, ends: list[tuple[int, int]], scores: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probability of each segment of a lattice under the field, and the log partition function."""
+    to, start = [[] for _ in range(places)], [[] for _ in range(places)]
+    s = scores.tolist()
+    for k, (i, j) in enumerate(ends):
+        to[j].append((i, s[k]))
+        start[i].append((j, s[k]))
+    fore, back = [0.0] * places, [0.0] * places
+    for j in range(1, places):
+        fore[j] = fore[j - 1]
+        for i, x in to[j]:
+            fore[j] = log_add(fore[j], fore[i] + x)
+    for i in range(places - 2, -1, -1):
+        back[i] = back[i + 1]
+        for j, x in start[i]:
+            back[i] = log_add(back[i], back[j] + x)
+    total = fore[-1] if places else 0.0
+    return np.array([math.exp(fore[i] + x + back[j] - total) for (i, j), x in zip(ends, s, strict=True)]), total
+
+
+def decode(n: int, scored: Iterable[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The best segmentation of ``n`` tokens, ``(first, last + 1, kind)`` of its entities; segments come by their first token."""
     best, via = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, kind, s in ends[j]:
-            if best[i] + s > best[j]:
-                best[j], via[j] = best[i] + s, (i, j, kind)
+    at = 0
+    for i, j, kind, s in scored:
+        while at < i:
+            at += 1
+            if best[at - 1] >= best[at]:
+                best[at], via[at] = best[at - 1], None
+        if best[i] + s > best[j]:
+            best[j], via[j] = best[i] + s, (i, j, kind)
+    while at < n:
+        at += 1
+        if best[at - 1] >= best[at]:
+            best[at], via[at] = best[at - 1], None
     out, j = [], n
     while j > 0:
         if via[j] is None:
@@ -193,41 +234,58 @@ def trained(sentences: int = 600, rounds: int = 40, rate: float = 2.0, ridge: fl
         toks, segs = candidates(text, 0, len(text))
         gold = [k for k, (i, j, kind, _) in enumerate(segs) if truth == (kind, toks[i][0], toks[j - 1][1])]
         if segs and (truth is None or gold):
-            data.append((len(toks), segs, np.array([s[3] for s in segs]), gold))
+            data.append((*lattice(segs), np.array([s[3] for s in segs]), gold))
     weights = np.zeros(len(NAMES))
     for _ in range(rounds):
         grad = -ridge * weights
-        for n, segs, x, gold in data:
-            p, _ = marginals(n, segs, x @ weights)
+        for places, ends, x, gold in data:
+            p, _ = marginals(places, ends, x @ weights)
             p[gold] -= 1
             grad -= p @ x / len(data)
         weights = weights + rate * grad * 10
     return tuple(weights.tolist())
 
 
-def added(text: str, found: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """``(kind, start, end)`` that the field finds beside the spans in ``found``."""
-    taken = sorted((a, b) for _, a, b in found)
-    windows, k, reach = [], 0, 0
-    for m in TRIGGER.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            reach, k = max(reach, taken[k][1]), k + 1
-        if k < len(taken) and taken[k][0] < m.end() or m.start() < reach:
-            continue
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if windows and a <= windows[-1][1] and b - windows[-1][0] <= WINDOW:
-            windows[-1][1], windows[-1][2] = b, windows[-1][2] + (m.end() - m.start())
+def windows(text: str) -> list[list[int]]:
+    """Where entities can be, ``[start, end]``: whole runs, so that none is cut; runs that overlap are one."""
+    out = []
+    if DIGITS.search(text):
+        for m in NUMBERS.finditer(text):
+            digits = sum(map(str.isdigit, m.group()))
+            if digits >= 7 or digits >= 4 and (m.group().count(".") >= 3 or m.group().count("dot") >= 3):
+                out.append([m.start(), m.end()])
+    for m in AT.finditer(text):
+        a = end = m.start() - 1 if m.start() and text[m.start() - 1].isspace() else m.start()
+        while a > 0 and LOCAL_END.match(text, a - 1):
+            a -= 1
+        host = HOST.match(text, m.end()) if a < end else None
+        if host:
+            out.append([a, host.end()])
+    out.sort()
+    merged = []
+    for a, b in out:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
         else:
-            windows.append([a, b, m.end() - m.start()])
+            merged.append([a, b])
+    return merged
+
+
+def added(text: str, found: list[tuple[int, int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
+    """``(kind, start, end)`` that the field finds beside the spans in ``found``, which no candidate overlaps."""
+    taken = sorted((a, b) for _, a, b in found)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out = []
-    for a, b, weight in windows:
-        if weight < 7 and "@" not in text[a:b] and not re.search("at|AT|\\.", text[a:b]):
-            continue  # too few digits for any type
-        toks, segs = candidates(text, a, b)
-        for i, j, kind in decode(len(toks), segs, weights) if segs else ():
-            x, y = toks[i][0], toks[j - 1][1]
-            if all(y <= p or q <= x for p, q in taken) and all(y <= p or q <= x for _, p, q in out):
-                out.append((kind, x, y))
+    for a, b in windows(text):
+        toks = [m.span() for m in TOKEN.finditer(text, a, b)]
+
+        def scored(toks=toks) -> Iterator[tuple[int, int, int, float]]:
+            for i, j, kind, fs in segments(text, toks):
+                k = bisect_left(starts, toks[j - 1][1])
+                if not k or reach[k - 1] <= toks[i][0]:
+                    yield i, j, kind, sum(v * weights[f"{kind}:{f}"] for f, v in fs.items())
+
+        out += [(kind, toks[i][0], toks[j - 1][1]) for i, j, kind in decode(len(toks), scored())]
     return out
 
 
@@ -239,9 +297,11 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row of ``docs``.
 
     The counts and the digest are of the patterns; ``spans`` lists all spans as ``kind:start:end`` in code points,
-    by kind, then start. Null is like an empty text: no spans. Equal texts have equal spans.
+    by kind, then start. Null is like an empty text: no spans. Texts of any length are read whole, and entities are
+    looked for in whole runs, so none is cut. Equal texts have equal spans; an empty table gives no rows. Only ``doc_id``
+    and ``text`` are read, so other columns may have any name.
     """
-    weights = np.array(trained())
+    weights = dict(zip(NAMES, trained(), strict=True))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

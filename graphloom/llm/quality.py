@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_crc
+from graphloom.llm.common import all_of, fresh, id_crc
 
 #: Bounds of the labelled sample: rows of each class, and bytes of each class's texts.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 12_000_000
@@ -119,12 +119,18 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; labels of the held-out fold teach nothing."""
+    """``doc_id, held_out, score, predicted`` for every row; labels of the held-out fold teach nothing.
+
+    Null and empty texts are scored as empty ones, very long texts as a whole; equal texts have equal scores. Without
+    labels of both classes every score is the same. An empty table gives no rows. Columns besides ``doc_id`` and ``text``
+    are not read, so they may have any name.
+    """
     fold = F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == held
     out = scored(docs.select("doc_id", "text"), train(docs, labels, ~fold)).select("doc_id", "score")
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``; columns stay."""
-    return scored(docs, train(docs, labels), "loom_score").where(F.col("loom_score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score at least ``threshold``; columns stay, whatever their names."""
+    (name,) = fresh(docs.columns, "loom_score")
+    return scored(docs, train(docs, labels), name).where(F.col(name) >= threshold).select(*all_of(docs.columns))

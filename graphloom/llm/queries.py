@@ -9,55 +9,59 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, embed_dedup, langid, line_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup
 from graphloom.llm.oracles import ORACLES
-from graphloom.runtime import table
+from graphloom.runtime import spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    out = mixing.mixed(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(documents(spark, sf_dir))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embed_dedup.near_duplicates(spread(table(spark, sf_dir, "embeddings")))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(documents(spark, sf_dir))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    out = suffix_dedup.deduplicate(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 

@@ -28,13 +28,16 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+#: Runs of key characters, dots inside them too, and their parts between dots.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]++(?:\.++[A-Za-z0-9+/_=-]++)*+")
+PART = re.compile(r"[A-Za-z0-9+/_=-]+")
+SHORTEST = 20
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) by their hexadecimal length, and UUIDs.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
 #: What stands before the run of a data URI.
 DATA = re.compile(r"data:[A-Za-z0-9.+/-]*(?:;[A-Za-z0-9=._-]*)*;base64,\Z", re.IGNORECASE)
-HAS_DIGIT, HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+HAS_LETTER = re.compile("[A-Za-z]")
 
 
 def ranks_from(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -61,19 +64,34 @@ class Scanner:
         return sorted(found)
 
     def is_random(self, run: str) -> bool:
-        if not HAS_DIGIT.search(run) or not HAS_LETTER.search(run) or DIGEST.match(run) or UUID.match(run):
-            return False
         return len(run) < self.most * sum(len(self.encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
+    def random(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """Runs that are random as a whole, and of the others the parts between dots that are."""
+        for m in RUN.finditer(text):
+            if m.end() - m.start() < SHORTEST or DATA.search(text, max(0, m.start() - 100), m.start()):
+                continue
+            parts = [p.span() for p in PART.finditer(text, m.start(), m.end())]
+            if len(parts) > 1 and HAS_LETTER.search(m.group()) and not any(known(text[a:b]) for a, b in parts) and self.is_random(m.group()):
+                yield m.start(), 3, m.end()
+                continue
+            for a, b in parts:
+                if b - a >= SHORTEST and HAS_LETTER.search(text, a, b) and not known(text[a:b]) and self.is_random(text[a:b]):
+                    yield a, 3, b
+
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans, and all spans."""
         text = text or ""
         base = self.base(text)
-        more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if not DATA.search(text, max(0, m.start() - 100), m.start()) and self.is_random(m.group())]
-        more = [x for x in more if all(x[2] <= b[0] or b[2] <= x[0] for b in base)] if more else more
+        more = [x for x in self.random(text) if all(x[2] <= b[0] or b[2] <= x[0] for b in base)]
         return base, sorted(base + more)
 
 
+def known(run: str) -> bool:
+    """Whether a run is a digest of a known length or a UUID."""
+    return bool(DIGEST.match(run) or UUID.match(run))
+
+
 def listed(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -84,7 +102,8 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most: float = MOST) -> D
     The counts and the digest are of the base patterns; ``spans`` lists all spans as ``kind:start:end`` in code
     points, by start, then kind. Null is like an empty text: no spans. The vocabulary is read by the driver and
     broadcast (under 2 MB), so executors need no file. Runs of any length are judged, each as a whole; encoded
-    data stands out only after ``DATA`` (a data URI) and is left to the base patterns.
+    data stands out only after ``DATA`` (a data URI) and is left to the base patterns. Equal rows have equal spans; an
+    empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks_from(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()

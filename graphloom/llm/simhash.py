@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.contraction import connected_components
-from graphloom.runtime import is_empty, materialize
+from graphloom.runtime import discard, is_empty, materialize
 
 BLOCK_VARIANTS = 4_000_000
 #: Bytes of text whose words are held at once, and shingle hashes whose bits are counted at once.
@@ -320,15 +320,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int =
     """One document of each group of near copies: the row with the smallest id, then the smallest hash of its text.
 
     Exactly one row of every group stays, whatever ids are null or repeated; a row with a null id only if no row
-    of its group has an id. Columns and their order stay.
+    of its group has an id. Texts without words (null, empty, blank) are a group; very long ones are read whole; an empty
+    table gives no rows. Columns and their order stay, whatever their names.
     """
     seen, classes = labelled(docs, similarity, bands, rows, shingle, seed)
     first = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("loom_id"), F.col("first.k_text").alias("loom_text"))
     same = F.col("doc_id").eqNullSafe(F.col("loom_id")) & (F.col("k_text") == F.col("loom_text"))
     first = materialize(seen.join(first, same).groupBy("loom_id", "loom_text").agg(F.count(F.lit(1)).alias("loom_rows")), "kept")
-    own_text = F.col("doc_id").eqNullSafe(F.col("loom_id")) & (F.xxhash64("text") == F.col("loom_text"))
-    kept = docs.join(first.where("loom_rows = 1"), own_text, "left_semi")
-    again = first.where("loom_rows > 1")
+    d = docs.alias("d")
+    own_text = F.col("d.doc_id").eqNullSafe(F.col("f.loom_id")) & (F.xxhash64("d.text") == F.col("f.loom_text"))
+    kept = d.join(first.where("loom_rows = 1").alias("f"), own_text, "left_semi")
+    again = materialize(first.where("loom_rows > 1"), "again")
     if is_empty(again):
+        discard(again)
         return kept
-    return kept.unionByName(docs.join(again, own_text, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(d.join(again.alias("f"), own_text, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import row_key, text_or_empty
+from graphloom.llm.common import row_key, split_join, text_or_empty
 from graphloom.runtime import discard, materialize
 
 LENGTH, GRAM, HOT = 400, 64, 1000
@@ -323,31 +323,44 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every row of ``docs``.
 
     Null is like an empty text. Texts of fewer than ``length`` bytes lose nothing. Equal rows repeat each other.
-    Strings are judged on the input, whole texts are used, matches end with the text. Only ``doc_id`` and
-    ``text`` are read.
+    Strings are judged on the input, whole texts are used, very long ones piece by piece; matches end with the text. Only
+    ``doc_id`` and ``text`` are read, so other columns may have any name. An empty table gives no rows.
+
+    Anchors, contexts and copies that a large part of all rows share are joined by broadcast (``split_join``), so no
+    task gets more than a small share of the rows for one of them.
     """
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), text_or_empty(F.col("text"))), text_or_empty(F.col("text")).alias("text"))
     found = materialize(anchors(keyed.select("k_id", "k_text", "text"), length, gram), "anchors")
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g")
-    lists = materialize(found.join(twice, "g", "left_semi").groupBy("k_id", "k_text").agg(F.collect_set(F.struct("g", "a", "b")).alias("found")), "lists")
-    discard(found)
+    twice = materialize(found.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
+    own = split_join(found, twice, ["g"], "left_semi", "times", found.count())
+    lists = materialize(own.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("g", "a", "b")).alias("found")), "lists")
+    discard(found, twice)
     some = materialize(keyed.join(lists, ["k_id", "k_text"]).select("doc_id", "k_id", "k_text", "text", "found"), "suspects")
     pieces = materialize(cut(some.select("k_id", "k_text", "text", "found"), length), "contexts")
-    classes = pieces.groupBy("g", "digest").agg(F.count(F.lit(1)).alias("times"))
-    classes = materialize(classes, "classes")
-    open_ = materialize(classes.groupBy("g").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1").select("g", "different"), "open")
-    entries = pieces.join(open_, "g").groupBy("g", "digest").agg(F.first("context").alias("context"), F.first("different").alias("different"))
+    total = pieces.count()
+    classes = materialize(pieces.groupBy("g", "digest").agg(F.count(F.lit(1)).alias("times")), "classes")
+    open_ = classes.groupBy("g").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least"), F.sum("times").alias("rows"))
+    open_ = materialize(open_.where("different > 1 and least = 1").select("g", "different", "rows"), "open")
+    entries = split_join(pieces, open_, ["g"], "inner", "rows", total).groupBy("g", "digest").agg(F.first("context").alias("context"), F.first("different").alias("different"))
     chunks = F.ceil(F.col("different") / HOT)
     entries = entries.select("g", "digest", "context", F.pmod(F.xxhash64("digest"), chunks).alias("chunk"), (chunks > 1).alias("hot"), F.monotonically_increasing_id().alias("cid"))
     entries = materialize(entries, "entries")
     buckets = max(16, entries.where("hot").count() // 1000)
-    found = materialize(sort_contexts(entries, length, buckets), "sorted")
-    runs_ = found.where("cid is not null").select("cid", "lo", "hi").unionByName(meet_chunks(found.where("bucket is not null").select("bucket", "records")))
-    marks = materialize(runs_.join(entries.select("cid", "g", "digest"), "cid").select("g", "digest", "lo", "hi"), "marks")
+    ordered = materialize(sort_contexts(entries, length, buckets), "sorted")
+    runs_ = ordered.where("cid is not null").select("cid", "lo", "hi").unionByName(meet_chunks(ordered.where("bucket is not null").select("bucket", "records")))
+    # a context that occurs twice repeats as a whole; of the others the runs do
+    marks = runs_.join(entries.select("cid", "g", "digest"), "cid").groupBy("g", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    all_runs = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    solved = classes.where("times > 1").select("g", "digest", all_runs.alias("runs"), "times")
+    solved = solved.unionByName(marks.join(classes.where("times = 1"), ["g", "digest"]).select("g", "digest", "runs", "times"))
+    solved = materialize(solved, "solved")
     at = pieces.select("k_id", "k_text", "g", "digest", "a", F.octet_length("context").alias("size"))
-    whole = at.join(classes.where("times > 1"), ["g", "digest"]).select("k_id", "k_text", F.col("a").alias("x"), (F.col("a") + F.col("size")).alias("y"))
-    part = at.join(marks, ["g", "digest"]).select("k_id", "k_text", (F.col("a") + F.col("lo")).alias("x"), (F.col("a") + F.col("hi") + length).alias("y"))
-    spans = materialize(whole.unionByName(part).groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("spans")), "spans")
+    both = split_join(at, solved, ["g", "digest"], "inner", "times", total)
+    whole = F.array(F.struct(F.col("a").alias("x"), (F.col("a") + F.col("size")).alias("y")))
+    some_runs = F.transform("runs", lambda r: F.struct((F.col("a") + r["lo"]).alias("x"), (F.col("a") + r["hi"] + length).alias("y")))
+    both = both.select("k_id", "k_text", F.explode(F.when(F.col("times") > 1, whole).otherwise(some_runs)).alias("span"))
+    spans = materialize(both.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("span")).alias("spans")), "spans")
+    discard(pieces, classes, open_, entries, ordered, solved)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

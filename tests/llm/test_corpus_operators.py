@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
-from graphloom.llm import decontaminate, embed_dedup, langid, line_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup
+from graphloom.llm import common, decontaminate, embed_dedup, langid, line_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k_id string, loom_h int, score double"
 BENCH = "item_id bigint, text string"
@@ -159,24 +160,45 @@ def test_pii_patterns():
 
 
 def test_pii_field_on_unseen_sentences():
-    rng, right, weights = random.Random(99), 0, np.array(pii.trained())
+    rng, right, weights = random.Random(99), 0, dict(zip(pii.NAMES, pii.trained(), strict=True))
     for _ in range(300):
         text, truth = pii.sentence(rng)
-        toks, segs = pii.candidates(text, 0, len(text))
-        right += [(k, toks[i][0], toks[j - 1][1]) for i, j, k in pii.decode(len(toks), segs, weights)] == ([truth] if truth else [])
+        right += pii.added(text, [], weights) == ([truth] if truth else [])
     assert right >= 270
 
 
 def test_pii_marginals_are_those_of_all_segmentations():
-    x = np.zeros(len(pii.NAMES))
-    segs, scores = [(0, 2, 0, x), (1, 3, 1, x), (2, 3, 2, x)], np.array([0.5, -0.2, 1.0])
+    segs, scores = [(0, 2), (1, 3), (2, 3)], np.array([0.5, -0.2, 1.0])
     worlds = [[], [0], [1], [2], [0, 2]]
     weights = np.array([np.exp(sum(scores[k] for k in w)) for w in worlds])
-    p, log_z = pii.marginals(3, segs, scores)
+    p, log_z = pii.marginals(*pii.lattice(segs), scores)
     assert log_z == pytest.approx(np.log(weights.sum()))
     assert p == pytest.approx([sum(weights[i] for i, w in enumerate(worlds) if k in w) / weights.sum() for k in range(3)])
 
 
+def test_pii_decoding_is_the_best_of_all_segmentations():
+    rng = random.Random(31)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        segs = sorted({(i, rng.randint(i + 1, n), rng.randrange(4)): rng.uniform(-1, 2) for i in [rng.randrange(n) for _ in range(6)]}.items())
+        best = 0.0
+        for bits in range(1 << len(segs)):
+            own = [s for k, s in enumerate(segs) if bits >> k & 1]
+            if all(x[0][1] <= y[0][0] for x, y in zip(own, own[1:], strict=False)):
+                best = max(best, sum(s for _, s in own))
+        score = {k: s for k, s in segs}
+        assert sum(score[x] for x in pii.decode(n, ((*k, s) for k, s in segs))) == pytest.approx(best)
+
+
+def test_pii_long_entities_are_not_cut():
+    weights = dict(zip(pii.NAMES, pii.trained(), strict=True))
+    for local in ("a" * 62, "a" * 20 + "." + "b" * 20 + "." + "c" * 20, ".".join("ab" for _ in range(20))):
+        text = f"write to {local} (at) example (dot) org today"
+        assert pii.added(text, [], weights) == [(0, 9, len(text) - 6)]
+    for text in ("1 2 3 " * 5000, "x.y" * 20_000, "a@" * 20_000, "4 " * 30_000):
+        pii.added(text, pii.base(text), weights)
+
+
 def test_pii_query(spark):
     docs, rows = corpus(spark)
     more = spark.createDataFrame([(900, "Write to jo.e@ex-ample.org or call (212) 555-0187; host 10.0.0.256, 1.2.3.4", *[None] * 6)], SCHEMA)
@@ -187,6 +209,40 @@ def test_pii_query(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pii_and_secret_queries_against_plain_patterns(spark):
+    rng, rows = random.Random(41), []
+    parts = ["jo.e@ex-ample.org", "a@b", "10.0.0.256", "192.168.1.77", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 30 1234567", "+1", "tel", "é", "\U0001f600", "\n", "token = abcdef1", 'PASSWORD: "x1"', "AKIA" + "Q" * 17, "ab12" * 7, "word"]
+    for i in range(300):
+        rows.append((i, " ".join(rng.choice(parts) for _ in range(rng.randrange(12))), *[None] * 6))
+    rows += [(300, None, *[None] * 6), (301, "", *[None] * 6), rows[7], (None, rows[8][1], *[None] * 6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    want_pii, want_keys = [], []
+    for r in rows:
+        t = r[1] or ""
+        kinds = [
+            [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+            [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))],
+            [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))],
+            [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15],
+        ]
+        names = ("email", "ip", "card", "phone")
+        want_pii.append((r[0], *map(len, kinds), sha(",".join(f"{names[k]}:{a}:{b}" for k in range(4) for a, b in kinds[k]))))
+        keys = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        keys += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        keys += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        names = ("assign", "access", "hex")
+        want_keys.append((r[0], *(sum(x[1] == k for x in keys) for k in range(3)), sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(keys)))))
+    got = pii.find(docs).collect()
+    assert multiset((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == multiset(want_pii)
+    got = secret_scan.scan(docs).collect()
+    assert multiset((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == multiset(want_keys)
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -216,6 +272,16 @@ def test_long_secrets():
         assert scanner.spans(f'<img src="data:image/png;base64,{key}">')[1] == []
 
 
+def test_secrets_of_letters_and_in_parts():
+    rng, scanner = random.Random(6), secret_scan.Scanner(secret_scan.ranks_from())
+    key = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choice(of) for _ in range(n))
+    for of in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        assert scanner.spans(f"use {key(40, of)} here")[1] == [(4, 3, 44)]
+    assert scanner.spans(f"use {key(18)}.{key(6)}.{key(17)}.")[1] == [(4, 3, 47)]
+    digest = hashlib.sha1(b"x").hexdigest().upper()
+    assert scanner.spans(f"see cache.{digest}.bin and www.example.com/path/to/some-document.html, antidisestablishmentarianism")[1] == []
+
+
 # 4, 7 ---------------------------------------------------------------------------------------------------------
 
 
@@ -227,18 +293,67 @@ def test_langid(spark):
         lang = rng.choice(["xx", "yy"])
         text = " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 40)))
         rows.append((i, text, None if i % 9 == 0 else lang, lang, *[None] * 4))
-    rows += [(1000, None, "xx", *[None] * 5), (1001, "123 !?", "xx", *[None] * 5), (None, "kar kar", None, *[None] * 5), (1002, "", None, *[None] * 5)]
+    rows += [(1000, None, "xx", *[None] * 5), (1001, "123 !?", "xx", *[None] * 5), (None, "kar kar", None, *[None] * 5), (1002, "", None, *[None] * 5), (1003, "²½ ³", None, *[None] * 5)]
     out = langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
     held = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 and r[0] < 1000]
     assert all(by[r[0]].held_out for r in held) and len(held) > 50
     assert np.mean([by[r[0]].lang_pred == r[3] for r in held]) > 0.98
-    assert {by[i].lang_pred for i in (1000, 1001, 1002)} == {"und"} and by[None].lang_pred == "xx"
+    assert {by[i].lang_pred for i in (1000, 1001, 1002, 1003)} == {"und"} and by[None].lang_pred == "xx"
     assert all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", *[None] * 6)], SCHEMA)).collect()} == {"und"}
 
 
+def test_langid_query_against_plain_python(spark, monkeypatch):
+    rng, rows = random.Random(18), []
+    stems = {"xx": ["kar", "mul", "tes", "vo"], "yy": ["ñan", "ére", "lué", "pa"]}
+    for i in range(120):
+        lang = rng.choice(["xx", "yy"])
+        rows.append((i, " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))), lang, *[None] * 5))
+    counts = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            counts[r[2]].update(re.findall(r"[^\W\d_]+", r[1].lower()))
+    words = {lang: sum(c.values()) for lang, c in counts.items()}
+    known = sorted(set().union(*counts.values()))
+    share = {lang: {w: (c[w] + 0.5) / (words[lang] + 0.5 * len(known)) for w in known} for lang, c in counts.items()}
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, *_ in rows:
+        own = re.findall(r"[^\W\d_]+", text.lower())
+        if all(w in set(known) for w in own):
+            mean = {lang: sum(np.log(share[lang][w]) for w in own) / len(own) for lang in share}
+            best = max(mean, key=mean.get)
+            score = 1 / sum(np.exp((mean[lang] - mean[best]) * min(len(own), 10)) for lang in mean)
+            assert (out[i].lang_pred, out[i].score) == (best, pytest.approx(score))
+    model = langid.fit(dict(counts))
+    p, rare = langid.Predictor(model), "karñanpa"
+    assert rare not in model.words
+    grams = [g for g in (f"<{rare}>"[k : k + 5] for k in range(6)) if g in model.grams]
+    assert np.allclose(p.evidence(rare), np.mean([model.table[model.grams[g]] for g in grams], axis=0))
+    monkeypatch.setattr(langid, "CACHE", 3)
+    small = langid.Predictor(model)
+    assert [small.predict(r[1] + " q" + r[1][::-1]) for r in rows] == [p.predict(r[1] + " q" + r[1][::-1]) for r in rows]
+
+
+def test_quality_query_against_plain_python(spark):
+    rng, rows, labels = random.Random(19), [], []
+    for i in range(150):
+        good = rng.random() < 0.6
+        rows.append((i, " ".join(rng.choice(["river", "stone", "house"]) + ("" if good else rng.choice("$#%&") * 3) for _ in range(rng.randint(1, 60))), *[None] * 6))
+        labels.append((i, int(good), 0))
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    teach = spark.createDataFrame([(i,) for i in range(150) if zlib.crc32(str(i).encode()) % 5], "doc_id bigint").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()
+    of, quality_of = dict(r[:2] for r in rows), {i: q for i, q, _ in labels}
+    model = quality.fit(*([of[r.doc_id] for r in teach if quality_of[r.doc_id] == q] for q in (1, 0)))
+    plain = [zstandard.ZstdCompressor(level=quality.LEVEL, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})) for d in (b"", model.good, model.bad)]
+    for r in quality.classify(docs, table).collect():
+        b = of[r.doc_id].encode()
+        size, good, bad = (len(c.compress(b)) for c in plain)
+        x = np.array([1, (bad - good) / size, np.log((len(b) + 20) / size), np.log1p(len(b)) / 10]) @ np.array(model.weights)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-x)), abs=0.02) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_quality(spark):
     rng = random.Random(9)
     rows, labels = [], []
@@ -304,6 +419,40 @@ def test_embeddings(spark, monkeypatch, members):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def close_pairs(x):
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    return close
+
+
+def test_repeated_vector_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (5, [1.0, 0.01]), (7, [-1.0, 0.0])]
+    out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert multiset((r.vec_id, r.n_links, r.component_id) for r in out) == multiset([(1, 1, 1), (1, 1, 1), (2, 1, 1), (5, 1, 1), (7, 0, 7)])
+
+
+def test_embedding_recall_with_a_third_in_one_cone(spark):
+    rng = np.random.default_rng(3)
+    n = 9000
+    x = rng.standard_normal((n, 32))
+    x[: n // 3] = 2.5 * np.r_[1.0, np.zeros(31)] * np.sqrt(32) / 2.5 + 0.45 * x[: n // 3]  # one direction, mutual cosine about 0.8
+    for k in range(400):  # partners just above the threshold, in the cone and out of it
+        u = x[k * 20] / np.linalg.norm(x[k * 20])
+        r = rng.standard_normal(32)
+        r -= (r @ u) * u
+        x[k * 20 + 1] = 0.952 * u + np.sqrt(1 - 0.952**2) * r / np.linalg.norm(r)
+    close = close_pairs(x)
+    comp = roots(n, zip(*np.nonzero(close), strict=True))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    out = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), window=128).collect()}
+    linked = [i for i in range(n) if close[i].any()]
+    assert len(linked) > 700
+    assert np.mean([out[i].component_id == comp[i] for i in linked]) >= 0.98
+    assert sum(out[i].n_links for i in range(n)) >= 0.98 * close.sum()
+    assert all(out[i].n_links <= close[i].sum() for i in range(n))
+
+
 def test_more_vectors_need_more_passes():
     n = [embed_dedup.passes_for(k, 0.95, 512, 0.999) for k in (10, 10**4, 10**6, 10**9)]
     assert n == sorted(n) and n[0] == 4 and n[-1] < 100
@@ -448,9 +597,10 @@ def test_suffix_array_is_sorted():
     assert sa.tolist() == sorted(range(501), key=lambda p: raw[p:])
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(suffix_dedup.HOT, suffix_dedup.BATCH), (1, 0), (3, 0)])
-def test_suffix_dedup(spark, monkeypatch, hot, batch):
+@pytest.mark.parametrize(("hot", "batch", "hot_rows"), [(suffix_dedup.HOT, suffix_dedup.BATCH, 1000), (1, 0, 1000), (3, 0, 2)])
+def test_suffix_dedup(spark, monkeypatch, hot, batch, hot_rows):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(5)
     passage = words(rng, 60)
@@ -524,3 +674,64 @@ def test_line_dedup(spark):
     assert all(text[i].n_dropped == 0 for i in range(60, 75))
     assert text[90].text is None and text[91].text == "" and text[92].text == "one\n\none"
     assert line_dedup.drop_recurring_lines(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [36, 84, 720, 20_000])
+def test_a_footer_with_two_fields_goes_at_any_size(spark, n):
+    pick = lambda k, prime: f"element_at(split('red green blue brown black white grey pink cyan gold teal lime', ' '), cast((id * {prime}) % 12 + 1 as int))"
+    word = lambda k: f"translate(md5(concat(id, '-{k}')), '0123456789', 'ghijklmnop')"
+    body = f"concat_ws(' ', {', '.join(map(word, range(8)))})"
+    docs = spark.range(n).selectExpr("id as doc_id", f"concat({body}, '\\n', 'Posted in the section ', {pick(0, 7)}, ' by our ', {pick(1, 5)}, ' team of editors') as text")
+    out = line_dedup.drop_recurring_lines(docs)
+    assert out.where("n_dropped = 1 and text not like '%Posted in%'").count() == n
+
+
+def test_two_templates_in_one_leaf_and_lines_that_only_look_alike(spark):
+    rng, rows = random.Random(21), []
+    for i in range(400):
+        lines = [words(rng, 12, 10**6)]
+        lines.append(f"read the full {rng.choice('abcd')} story at our {rng.choice('abcdef')} news page today" if i % 4 else f"read the full {rng.choice('klmnop')} terms before you {rng.choice('uvwxyz')} use this service")
+        lines.append("read the full " + words(rng, 8, 10**6))
+        rows.append((i, "\n".join(lines)))
+    out = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    of = dict(rows)
+    assert all(r.text == "\n".join(of[r.doc_id].split("\n")[::2]) for r in out)
+
+
+def test_shared_lines_go_however_little_else_there_is(spark):
+    rng = random.Random(22)
+    licence = "Permission is granted to anyone to use this text for any purpose and without fee"
+    rows = [(i, f"own{i}\n{licence}") for i in range(20)]
+    passage = words(rng, 60, 10**6)
+    rows += [(100 + i, "\n".join([words(rng, 30, 10**6), passage, words(rng, 30, 10**6)])) for i in range(3)]
+    lines = [words(rng, 15, 10**6) for _ in range(10)]  # 60 near copies: each line edited in some of them
+    rows += [(200 + i, "\n".join(x if rng.random() > 0.05 else x + " edited " + str(i) for x in lines)) for i in range(60)]
+    one = words(rng, 40, 10**6).split()
+    rows += [(300 + i, " ".join([*one[:20], f"edit{i}", *one[21:]])) for i in range(60)]  # documents of one line
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[i] == f"own{i}" for i in range(20))
+    assert all(passage not in out[100 + i] for i in range(3))
+    assert all(out[i] == t for i, t in rows if i >= 200)
+
+
+def test_extra_columns_of_any_name(spark):
+    rng = random.Random(23)
+    footer = "This footer stands below every text of the table"
+    rows = [(i, words(rng, 30, 10**6) + "\n" + footer, "s", 1, 2, 3, 4, 5, 6, 7) for i in range(12)] + [(None, None, None, *[None] * 7)]
+    names = ["doc_id", "text", "source", "a.b", "n_dropped", "n_lines", "copy", "loom_md5", "loom_score", "k_text"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["bigint", "string", "string", *["int"] * 7], strict=True)))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, rows[0][1])], BENCH)
+    assert mixing.mix(docs).columns == [n for n in names if n != "copy"] + ["copy"]
+    assert mixing.mix(docs).count() > 0
+    assert quality.keep_good(docs, labels).columns == names and quality.keep_good(docs, labels, -1).count() == 13
+    lines = line_dedup.drop_recurring_lines(docs)
+    assert lines.columns == [n for n in names if n[:2] != "n_"] + ["n_dropped", "n_lines"] and lines.agg({"n_dropped": "sum"}).first()[0] == 12
+    kept = line_dedup.drop_lines_only(docs).collect()
+    assert list(kept[0].asDict()) == names and {(r["a.b"], r["n_dropped"], r["n_lines"]) for r in kept} == {(1, 2, 3), (None, None, None)} and not any(footer in (r.text or "") for r in kept)
+    for spans in (False, True):
+        cut = decontaminate.remove_contaminated(docs, items, spans=spans)
+        assert cut.columns == names and cut.count() == 12 + spans
+    assert simhash.drop_near_duplicates(docs).columns == names and simhash.drop_near_duplicates(docs).count() == 13
+    for table in (pii.find(docs), secret_scan.scan(docs), langid.identify(docs.selectExpr("*", "'xx' as lang")), quality.classify(docs, labels), simhash.near_duplicates(docs), suffix_dedup.deduplicate(docs), mixing.mixed(docs), decontaminate.contamination(docs, items)):
+        assert table.count() == 13
