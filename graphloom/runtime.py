@@ -1,7 +1,7 @@
 """Shared run-time helpers: table access and written hand-offs between the rounds of an iteration.
 
 Rounds hand their state over as Parquet tables in the folder that the session names in
-``spark.checkpoint.dir``. Such a table is a clean leaf for the next plan (no growing lineage) and, unlike a
+``spark.checkpoint.dir``, under the application's id. Such a table is a clean leaf for the next plan (no growing lineage) and, unlike a
 local checkpoint, does not vanish with the executor that made it.
 """
 
@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written state; a local one only where the session names none."""
+#: Bytes of a table up to which its layout is worth a look.
+SMALL = 1 << 26
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than cores dealt out over all cores: its one row group would be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL or len(df.inputFiles()) >= cores:
+        return df
+    return df.withColumn("loom_row", F.monotonically_increasing_id()).repartition(cores, "loom_row").drop("loom_row")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for written state; a local one only in local mode, where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else os.path.join(tempfile.gettempdir(), "graphloom-scratch")
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            base = named.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = os.path.join(tempfile.gettempdir(), "graphloom-scratch")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/graphloom"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's hand-offs; nothing in it outlives the application's use."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 #: Bounds of what is handed to a Python worker at once while a table is written.
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
@@ -60,10 +83,17 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_loom_path", None)
         if path:
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            hpath = jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all hand-offs of this application, once no DataFrame that reads them is needed."""
+    delete(spark, scratch_dir(spark))
 
 
 def is_empty(df: DataFrame) -> bool:
