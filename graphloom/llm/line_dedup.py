@@ -34,9 +34,9 @@ def digest(text: Column) -> Column:
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``k_id, k_text, alone, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
-    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
-    alone = F.size(F.filter("lines", lambda line: F.trim(line) != "")) == 1
-    split = keyed.select("k_id", "k_text", alone.alias("alone"), F.posexplode("lines").alias("pos", "line"))
+    alone = ~F.contains(F.btrim(text_or_empty(F.col("text")), F.lit(" \n")), F.lit("\n"))
+    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), alone.alias("alone"), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
+    split = keyed.select("k_id", "k_text", "alone", F.posexplode("lines").alias("pos", "line"))
     raw = split.select("k_id", "k_text", "alone", "pos", "line", F.split(F.trim("line"), r"\s+").alias("raw"))
     masked = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
     mostly_words = F.size(F.filter("raw", lambda t: ~t.rlike("[0-9]"))) * 2 >= F.size("raw")
@@ -59,10 +59,12 @@ def generalised(inside: DataFrame, total: int, depth: int, similarity: float, ne
     known = forms.join(per, ["leaf", "form"], "left").select("leaf", "form", "lines", "n", "texts", F.slice("tokens", 1, depth).alias("lead"), F.coalesce("held", F.array().cast("array<struct<weight:bigint,at:int,token:string>>")).alias("held"))
     lead = F.least(F.lit(depth), F.col("n"))
     rank = F.ceil(F.col("n") * F.lit(similarity)).cast("int") - lead
-    sorted_ = F.reverse(F.array_sort(F.transform("held", lambda x: x["weight"])))
-    least = F.when(rank <= 0, F.col("texts")).otherwise(F.get(sorted_, rank - 1))
+    weights_ = F.sort_array(F.transform("held", lambda x: x["weight"]), asc=False)
+    least = F.when(rank <= 0, F.col("texts")).otherwise(F.get(weights_, rank - 1))
     known = known.withColumn("least", least).where(F.col("least").isNotNull())
-    kept = F.array_sort(F.transform(F.filter("held", lambda x: x["weight"] >= F.col("least")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+    # the bound goes in as a variable of its own, or it would be made again for every token
+    heavy = F.transform(F.array("least"), lambda low: F.filter("held", lambda x: x["weight"] >= low))[0]
+    kept = F.sort_array(F.transform(heavy, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
     name = F.concat_ws(" ", F.col("n").cast("string"), "lead", F.transform(kept, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["token"])))
     out = materialize(known.select("leaf", "form", "lines", digest(name).alias("template")), "generalised")
     discard(weights, forms)
