@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.graphs import Graph
 from graphloom.operators.contraction import compress, connected_components
 from graphloom.operators.transform import symmetrize
-from graphloom.runtime import discard, is_empty, materialize
+from graphloom.runtime import counted, discard, materialize
 
 
 def minimum_pointers(graph: Graph) -> DataFrame:
@@ -25,19 +25,22 @@ def pointer_jump(pointers: DataFrame) -> DataFrame:
 def cc_min_label(graph: Graph) -> DataFrame:
     """``id, component``: the smallest id of the component, by rounds of minimum label and pointer jump.
 
-    Only vertices whose label changed push in the next round.
+    Only vertices whose label changed push in the next round, and only they jump, to the label that their new one had.
     """
     edges = materialize(symmetrize(graph.edges), "edges")
-    labels = materialize(minimum_pointers(graph).select("id", F.col("c").alias("component"), F.lit(True).alias("moved")), "labels")
-    while not is_empty(labels.where("moved")):
+    first = minimum_pointers(graph).select("id", F.col("c").alias("component"))
+    labels, moved = counted(first.withColumn("moved", F.col("id") != F.col("component")), "labels", F.col("moved"))
+    while moved:
         active = labels.where("moved").select(F.col("id").alias("src"), "component")
-        pushed = edges.join(active, "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("low"))
-        met = labels.join(pushed, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
-        met = materialize(met, "met")
-        target = met.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        jumped = met.join(target, "low").select("id", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved"))
-        fresh = materialize(jumped, "labels")
-        discard(labels, met)
+        pushed = edges.join(active, "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("pushed"))
+        met = labels.join(pushed, "id", "left").select("id", "component", F.least("component", F.coalesce("pushed", "component")).alias("low"), "moved")
+        # rows that stay as they are look nothing up: their keys are spread and meet no condition
+        jumps = F.col("moved") | (F.col("low") != F.col("component"))
+        met = met.withColumn("key", F.when(jumps, F.col("low")).otherwise(-F.col("id") - 1))
+        target = labels.select(F.col("id").alias("t_id"), F.col("component").alias("t_low"))
+        jumped = met.join(target, (F.col("key") == F.col("t_id")) & jumps, "left").select("id", "component", F.least("low", F.coalesce("t_low", "low")).alias("next"))
+        fresh, moved = counted(jumped.select("id", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "labels", F.col("moved"))
+        discard(labels)
         labels = fresh
     discard(edges)
     return labels.select("id", "component")

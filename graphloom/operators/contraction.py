@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import discard, is_empty, materialize, view
+from graphloom.joins import split_join
+from graphloom.runtime import counted, discard, materialize, view
+
+#: Steps of a round of compression, and rows up to which one task may hold all that share a target.
+STEPS, LARGE = 3, 1_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -20,17 +24,34 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pair.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
+def follow(pointers: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """``rows(id, c)`` with ``cc``: where ``c`` points. Past ``LARGE`` rows, targets that many rows share are joined apart."""
+    target = pointers.select(F.col("id").alias("c"), F.col("c").alias("cc"))
+    if total <= LARGE:
+        return rows.join(target, "c", "left")
+    times = rows.groupBy("c").agg(F.count(F.lit(1)).alias("times"))
+    return split_join(rows, target.join(times, "c"), ["c"], "left", "times", total).drop("times")
+
+
 def compress(pointers: DataFrame) -> DataFrame:
-    """Follow ``c`` until it is a root. ``pointers(id, c)`` is a written table; so is the result."""
+    """Follow ``c`` until it is a root. ``pointers(id, c)`` is a written table; so is the result.
+
+    A round takes ``STEPS`` steps, which multiplies the length of a step by ``STEPS + 1``. Rows that have reached their root take
+    no further part, so a root that most rows point at is no key of any later join.
+    """
+    total = pointers.count()
+    rest, done = pointers.where("id <> c"), pointers.where("id = c").select("id", "c")
     while True:
-        target = pointers.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        jumped = pointers.join(target, "c", "left").select("id", "c", F.coalesce("cc", "c").alias("cc"))
-        jumped = materialize(jumped, "jump")
-        if is_empty(jumped.where(F.col("c") != F.col("cc"))):
-            discard(jumped)
-            return pointers
+        at = rest.select("id", "c")
+        for _ in range(STEPS):
+            at = follow(pointers, at, total).select("id", F.col("c").alias("before"), F.coalesce("cc", "c").alias("c"))
+        moved = done.withColumn("open", F.lit(False)).unionByName(at.select("id", "c", (F.col("before") != F.col("c")).alias("open")))
+        jumped, left = counted(moved, "jump", F.col("open"))
         discard(pointers)
-        pointers = view(jumped, jumped.select("id", F.col("cc").alias("c")))
+        pointers = view(jumped, jumped.select("id", "c"))
+        if not left:
+            return pointers
+        rest, done = jumped.where("open"), jumped.where("not open").select("id", "c")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,16 +59,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the smallest id that can be reached. An edgeless input gives no rows.
     """
-    rest = materialize(undirected(edges), "edges")
+    rest, left = counted(undirected(edges), "edges", F.lit(True))
     maps: list[DataFrame] = []
-    while not is_empty(rest):
+    while left:
         ends = rest.select(F.col("a").alias("id"), F.col("b").alias("n")).unionAll(rest.select(F.col("b").alias("id"), F.col("a").alias("n")))
         pointers = ends.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("c"))
         pointers = compress(materialize(pointers, "pointers"))
         maps.append(pointers)
-        left = pointers.select(F.col("id").alias("a"), F.col("c").alias("src"))
-        right = pointers.select(F.col("id").alias("b"), F.col("c").alias("dst"))
-        nxt = materialize(undirected(rest.join(left, "a").join(right, "b").select("src", "dst")), "edges")
+        a = follow(pointers, rest.select(F.col("a").alias("c"), "b"), left).select("b", F.col("cc").alias("src"))
+        b = follow(pointers, a.select(F.col("b").alias("c"), "src"), left).select("src", F.col("cc").alias("dst"))
+        nxt, left = counted(undirected(b), "edges", F.lit(True))
         discard(rest)
         rest = nxt
     if not maps:

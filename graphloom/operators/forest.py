@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.graphs import Graph
 from graphloom.operators.components import cc_pointer_jump, component_hubs
-from graphloom.operators.contraction import compress
-from graphloom.runtime import discard, is_empty, materialize
+from graphloom.operators.contraction import compress, follow
+from graphloom.runtime import counted, discard, is_empty, materialize
 
 
 def unique_pairs(edges: DataFrame) -> DataFrame:
@@ -35,19 +35,21 @@ def boruvka(edges: DataFrame) -> DataFrame:
     Edges are ordered by weight, then by their ends: a strict order, so the forest is unique and mutual choices
     are the only cycles. Each round keeps the lightest edge between two components, so dense graphs shrink too.
     """
-    cross = materialize(unique_pairs(edges).select(F.col("lo").alias("c1"), F.col("hi").alias("c2"), "lo", "hi", "weight"), "cross")
+    pairs = unique_pairs(edges).select(F.col("lo").alias("c1"), F.col("hi").alias("c2"), "lo", "hi", "weight")
+    cross, left = counted(pairs, "cross", F.lit(True))
     chosen = []
-    while not is_empty(cross):
+    while left:
         best = materialize(lightest_edge(cross), "lightest")
         chosen.append(best)
-        back = best.select(F.col("component").alias("other"), F.col("other").alias("returns"))
-        mutual = (F.col("returns") == F.col("component")) & (F.col("component") < F.col("other"))
-        hooks = best.join(back, "other").select(F.col("component").alias("id"), F.when(mutual, F.col("component")).otherwise(F.col("other")).alias("c"))
-        roots = compress(materialize(hooks, "hooks"))
-        a, b = (roots.select(F.col("id").alias(old), F.col("c").alias(new)) for old, new in (("c1", "n1"), ("c2", "n2")))
-        moved = cross.join(a, "c1").join(b, "c2").where(F.col("n1") != F.col("n2")).select(F.least("n1", "n2").alias("c1"), F.greatest("n1", "n2").alias("c2"), "lo", "hi", "weight")
+        onward = best.select(F.col("component").alias("id"), F.col("other").alias("c"))
+        hooks = follow(onward, onward, left)
+        mutual = (F.col("cc") == F.col("id")) & (F.col("id") < F.col("c"))
+        roots = compress(materialize(hooks.select("id", F.when(mutual, F.col("id")).otherwise(F.col("c")).alias("c")), "hooks"))
+        a = follow(roots, cross.withColumnRenamed("c1", "c"), left).withColumnRenamed("cc", "n1").drop("c")
+        b = follow(roots, a.withColumnRenamed("c2", "c"), left).withColumnRenamed("cc", "n2").drop("c")
+        moved = b.where(F.col("n1") != F.col("n2")).select(F.least("n1", "n2").alias("c1"), F.greatest("n1", "n2").alias("c2"), "lo", "hi", "weight")
         light = moved.groupBy("c1", "c2").agg(F.min(F.struct("weight", "lo", "hi")).alias("m")).select("c1", "c2", "m.lo", "m.hi", "m.weight")
-        nxt = materialize(light, "cross")
+        nxt, left = counted(light, "cross", F.lit(True))
         discard(cross, roots)
         cross = nxt
     if not chosen:

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,13 @@ def scratch_dir(spark: SparkSession) -> str:
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+def counted(df: DataFrame, label: str, what: Column) -> tuple[DataFrame, int]:
+    """``df``, written, and in how many of its rows ``what`` is true: counted by the job that writes them."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(what).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
