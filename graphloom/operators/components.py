@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import Graph
-from graphloom.operators.contraction import compress, connected_components
+from graphloom.operators.contraction import compress, connected_components, follow
 from graphloom.operators.transform import symmetrize
 from graphloom.runtime import counted, discard, materialize
 
@@ -22,28 +22,31 @@ def pointer_jump(pointers: DataFrame) -> DataFrame:
     return compress(materialize(pointers, "pointers")).select("id", F.col("c").alias("root"))
 
 
+def jumped(labels: DataFrame, rows: DataFrame, total: int, steps: int = 2) -> DataFrame:
+    """``rows(id, old, c)`` after looking ``c`` up in ``labels(id, c)`` a few times; labels only get smaller."""
+    for _ in range(steps):
+        rows = follow(labels, rows, total).select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
+    return rows
+
+
 def cc_min_label(graph: Graph) -> DataFrame:
     """``id, component``: the smallest id of the component, by rounds of minimum label and pointer jump.
 
-    Only vertices whose label changed push in the next round, and only they jump, to the label that their new one had.
+    Only vertices whose label changed push in the next round; every label is looked up among those of the round before.
     """
     edges = materialize(symmetrize(graph.edges), "edges")
-    first = minimum_pointers(graph).select("id", F.col("c").alias("component"))
-    labels, moved = counted(first.withColumn("moved", F.col("id") != F.col("component")), "labels", F.col("moved"))
+    labels, moved = counted(minimum_pointers(graph).withColumn("moved", F.col("id") != F.col("c")), "labels", F.col("moved"))
+    total = labels.count()
     while moved:
-        active = labels.where("moved").select(F.col("id").alias("src"), "component")
-        pushed = edges.join(active, "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("pushed"))
-        met = labels.join(pushed, "id", "left").select("id", "component", F.least("component", F.coalesce("pushed", "component")).alias("low"), "moved")
-        # rows that stay as they are look nothing up: their keys are spread and meet no condition
-        jumps = F.col("moved") | (F.col("low") != F.col("component"))
-        met = met.withColumn("key", F.when(jumps, F.col("low")).otherwise(-F.col("id") - 1))
-        target = labels.select(F.col("id").alias("t_id"), F.col("component").alias("t_low"))
-        jumped = met.join(target, (F.col("key") == F.col("t_id")) & jumps, "left").select("id", "component", F.least("low", F.coalesce("t_low", "low")).alias("next"))
-        fresh, moved = counted(jumped.select("id", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "labels", F.col("moved"))
+        active = labels.where("moved").select(F.col("id").alias("src"), "c")
+        pushed = edges.join(active, "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("pushed"))
+        met = labels.join(pushed, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("pushed", "c")).alias("c"))
+        after = jumped(labels.select("id", "c"), met, total).select("id", "c", (F.col("c") != F.col("old")).alias("moved"))
+        fresh, moved = counted(after, "labels", F.col("moved"))
         discard(labels)
         labels = fresh
     discard(edges)
-    return labels.select("id", "component")
+    return labels.select("id", F.col("c").alias("component"))
 
 
 def cc_pointer_jump(graph: Graph) -> DataFrame:
@@ -63,12 +66,46 @@ def component_hubs(graph: Graph, labels: DataFrame) -> DataFrame:
     return best.select("component", (-F.col("m.neg")).alias("hub"), F.col("m.degree").alias("degree"))
 
 
+def frontier_density(labels: DataFrame, edges: int) -> Column:
+    """Aggregate over ``labels(moved, degree)``: changed vertices and their degrees, as a share of the edges."""
+    active = F.sum(F.when(F.col("moved"), F.col("degree") + 1).otherwise(0))
+    return active / F.lit(max(edges, 1))
+
+
+#: Share of active edges below which the changed vertices push instead of all others pulling.
+SPARSE = 0.01
+
+
 def cc_zero_hub(graph: Graph) -> DataFrame:
-    """Labels with 0 for the component of a vertex of largest degree and smallest id + 1 for the others."""
-    labels = materialize(cc_pointer_jump(graph), "labels")
-    top = symmetric_degree(graph).agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("id"))
-    hub = F.broadcast(labels.join(F.broadcast(top), "id").select("component", F.lit(True).alias("hub")))  # one row
-    return labels.join(hub, "component", "left").select("id", F.when(F.col("hub"), 0).otherwise(F.col("component") + 1).cast("long").alias("component"))
+    """Labels with 0 for the component of a vertex of largest degree and smallest id + 1 for the others.
+
+    Zero is planted at that hub and pushed first, since it will win most of a skewed graph. A vertex with 0 has converged
+    and neither pulls nor jumps again. While the frontier is dense the others pull from all their neighbours, then
+    the changed ones push. Labels above 0 are looked up as in ``cc_min_label``.
+    """
+    edges = materialize(symmetrize(graph.edges), "edges")
+    e = edges.count()
+    degree = materialize(symmetric_degree(graph), "degrees")
+    hub = degree.agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("hub"))  # one row
+    near = edges.join(F.broadcast(hub), F.col("src") == F.col("hub")).select(F.col("dst").alias("id")).unionAll(hub.select(F.col("hub").alias("id"))).distinct()
+    planted = degree.join(near.withColumn("zero", F.lit(True)), "id", "left")
+    first = planted.select("id", "degree", F.when(F.col("zero"), 0).otherwise(F.col("id") + 1).cast("long").alias("label"), F.lit(True).alias("moved"))
+    labels, moved = counted(first, "labels", F.col("moved"))
+    total, dense = labels.count(), True
+    while moved:
+        source = (labels if dense else labels.where("moved")).select(F.col("id").alias("src"), F.col("label").alias("low"))
+        open_ = labels.where("label > 0").select(F.col("id").alias("dst"))
+        met = edges.join(open_, "dst", "left_semi").join(source, "src").groupBy(F.col("dst").alias("id")).agg(F.min("low").alias("low"))
+        met = labels.join(met, "id", "left").select("id", F.col("label").alias("old"), (F.least("label", F.coalesce("low", "label")) - 1).alias("c"))
+        # label L > 0 names vertex L - 1; -1 stands for the planted zero and names none
+        after = jumped(labels.select("id", (F.col("label") - 1).alias("c")), met.where("c >= 0"), total, 1).unionAll(met.where("c < 0"))
+        after = after.join(degree, "id").select("id", "degree", (F.col("c") + 1).alias("label"), (F.col("c") + 1 != F.col("old")).alias("moved"))
+        fresh, moved = counted(after, "labels", F.col("moved"))
+        discard(labels)
+        labels = fresh
+        dense = bool(moved) and labels.agg(frontier_density(labels, e)).first()[0] >= SPARSE
+    discard(edges, degree)
+    return labels.select("id", F.col("label").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

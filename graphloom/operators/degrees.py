@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_order, hex_number
 from graphloom.graphs import Graph
 
 
@@ -44,8 +45,12 @@ def top_hubs(degree: DataFrame, k: int) -> DataFrame:
     return degree.orderBy(F.desc("degree"), "id").limit(k)
 
 
-def sampled_hot_vertices(graph: Graph, fraction: float = 0.05, seed: int = 1) -> DataFrame:
-    """``id, sampled``: how often each target stands in a sample of edges, as many as ``fraction`` of the vertices."""
+def sampled_hot_vertices(graph: Graph, fraction: float = 0.05, seed: str = "hot") -> DataFrame:
+    """``id, sampled``: how often each target stands in a sample of edges, as many as ``fraction`` of the vertices.
+
+    An edge is in the sample by a hash of its ends, so reruns and other engines sample the same.
+    """
     edges, vertices = graph.edges.count(), graph.vertices.count()
     share = min(1.0, fraction * vertices / max(edges, 1))
-    return graph.edges.sample(share, seed).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("sampled"))
+    drawn = hex_number(hash_order(seed, F.concat_ws("-", "src", "dst"))) < F.lit(share * 2.0**32)
+    return graph.edges.where(drawn).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("sampled"))

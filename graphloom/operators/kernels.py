@@ -17,8 +17,10 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     a, b = (degree.select(F.col("id").alias(x), F.col("d").alias(f"d_{x}")) for x in ("src", "dst"))
     rank = lambda x: F.struct(F.col(f"d_{x}"), F.col(x))
-    up = materialize(both.join(a, "src").join(b, "dst").where(rank("src") < rank("dst")).select("src", "dst"), "oriented")
-    wedge = up.join(up.select("src", F.col("dst").alias("far")), "src").where(F.col("dst") != F.col("far"))
+    up = both.join(a, "src").join(b, "dst").where(rank("src") < rank("dst")).select("src", "dst", "d_dst")
+    up = materialize(up, "oriented")
+    # each pair of successors once: its closing edge points from the smaller to the larger
+    wedge = up.join(up.select("src", F.col("dst").alias("far"), F.col("d_dst").alias("d_far")), "src").where(rank("dst") < rank("far"))
     closed = wedge.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("far")), ["dst", "far"], "left_semi")
     return closed.agg(F.count(F.lit(1)).alias("triangles"))
 

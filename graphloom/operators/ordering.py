@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_order
 from graphloom.graphs import Graph
+from graphloom.joins import split_join
 from graphloom.operators.numbering import numbered, running_sum
+from graphloom.runtime import materialize
 
 
 def degree_ordering(degree: DataFrame) -> DataFrame:
@@ -30,9 +32,13 @@ def degree_ordering_counting(degree: DataFrame) -> DataFrame:
 
 
 def sorted_adjacency(edges: DataFrame) -> DataFrame:
-    """``src, pos, dst``: each neighbour with its place in the ascending list of its source."""
-    pos = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
-    return edges.select("src", pos.cast("long").alias("pos"), "dst")
+    """``src, pos, dst``: each neighbour with its place in the ascending list of its source.
+
+    Edges are numbered as a whole and the number of the source's first one is taken off, so a hub's list is many tasks.
+    """
+    rows = materialize(numbered(edges.select("src", "dst"), [F.asc("src"), F.asc("dst")], "at"), "lists")
+    first = materialize(rows.groupBy("src").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    return split_join(rows, first, ["src"], "inner", "n", rows.count()).select("src", (F.col("at") - F.col("first")).alias("pos"), "dst")
 
 
 def random_ordering(vertices: DataFrame, seed: str = "1", iterations: int = 1, on_iteration=None) -> DataFrame:

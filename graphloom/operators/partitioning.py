@@ -46,9 +46,10 @@ def edge_partitioning(graph: Graph, parts: int) -> DataFrame:
 
 def partition_imbalance(graph: Graph, borders: DataFrame) -> DataFrame:
     """``imbalance``: root mean square distance of the parts' edges from the largest part, in percent of it."""
-    per = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    spread = F.broadcast(borders)  # one row for each part
-    edges = per.join(spread, (F.col("id") >= F.col("start_id")) & (F.col("id") < F.col("end_id"))).groupBy("p").agg(F.sum("n").alias("n"))
+    v, e = graph.vertices.count(), graph.edges.count()
+    at = offsets(graph).unionAll(graph.edges.sparkSession.createDataFrame([(v, e)], "id bigint, offset bigint"))
+    ends = borders.select("p", F.col("start_id").alias("id"), F.lit(-1).alias("sign")).unionAll(borders.select("p", F.col("end_id").alias("id"), F.lit(1).alias("sign")))
+    edges = at.join(F.broadcast(ends), "id").groupBy("p").agg(F.sum(F.col("offset") * F.col("sign")).alias("n"))  # two rows for each part
     loads = borders.join(edges, "p", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     top = loads.agg(F.max("n").alias("top"))
     off = loads.join(F.broadcast(top)).agg(F.floor(F.sum(F.pow(F.col("top") - F.col("n"), F.lit(2)))).alias("s"), F.count(F.lit(1)).alias("p"), F.first("top").alias("top"))

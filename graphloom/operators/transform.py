@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import MAX_WEIGHT, pair_weight
 from graphloom.graphs import Graph
-from graphloom.operators.ordering import random_ordering, relabel
+from graphloom.joins import HOT_KEYS
+from graphloom.operators.ordering import random_ordering, relabel, sorted_adjacency
+from graphloom.runtime import materialize
 
 
 def remove_self_edges(edges: DataFrame) -> DataFrame:
@@ -34,13 +35,16 @@ def transpose(edges: DataFrame, drop_self: bool = False) -> DataFrame:
     return (remove_self_edges(edges) if drop_self else edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
-def transpose_lists(edges: DataFrame, salts: int = 16, hot: int = 100_000) -> DataFrame:
+def transpose_lists(edges: DataFrame, hot: int = 100_000) -> DataFrame:
     """The reversed edges laid out by their new source, for consumers that want its list together.
 
-    Sources with over ``hot`` edges are dealt over ``salts`` tasks; the others stay whole.
+    Sources with over ``hot`` edges (or over the ``HOT_KEYS``-th part of all) are dealt over as many tasks as they have
+    times that; the others stay whole. There are at most ``HOT_KEYS`` such sources, so the table of them is broadcast.
     """
-    heavy = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("dst", F.lit(True).alias("heavy"))
-    salted = edges.join(heavy, "dst", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("src"), F.lit(salts))).otherwise(0))
+    per = materialize(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    least = max(hot, (per.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    heavy = F.broadcast(per.where(F.col("n") > least).select("dst", F.ceil(F.col("n") / least).alias("salts")))
+    salted = edges.join(heavy, "dst", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("src"), F.col("salts")), F.lit(0)))
     return salted.repartition("dst", "salt").sortWithinPartitions("dst", "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
@@ -60,9 +64,8 @@ def has_reverse_edge(edges: DataFrame) -> DataFrame:
 
 
 def edge_lookup(edges: DataFrame) -> DataFrame:
-    """``src, dst, idx``: where ``src`` stands in the ascending list of ``dst``, or -1."""
-    pos = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
-    lists = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), pos.cast("long").alias("idx"))
+    """``src, dst, idx``: where ``src`` stands in the ascending list of ``dst`` (first, if it stands there more than once), or -1."""
+    lists = sorted_adjacency(edges).groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.min("pos").alias("idx"))
     return edges.select("src", "dst").join(lists, ["src", "dst"], "left").select("src", "dst", F.coalesce("idx", F.lit(-1)).cast("long").alias("idx"))
 
 

@@ -106,3 +106,20 @@ c as (select n, (xor(z::ubigint, (z::ubigint >> 27))::uhugeint * 107231517805988
 select n, lower(lpad(to_hex(xor(z::ubigint, (z::ubigint >> 31))), 16, '0')) word from c"""
 ORACLES["cc_pointer_jump"] = ORACLES["cc_min_label"]
 ORACLES["degree_ordering_counting"] = ORACLES["degree_ordering"]
+ORACLES |= {
+    "validate_relabeling_spoilt": over(MID, VERT, "n as (select count(*) n, count(distinct (id_ - 1) // 2) d, max((id_ - 1) // 2) hi from (select row_number() over () id_ from v))", "select ((d <> n)::bigint + (hi <> n - 1)::bigint)::bigint violations from n"),
+    "validate_degree_ordering_spoilt": over(MID, VERT, IN_DEGREE, "o as (select degree, lag(degree) over (order by degree, id desc) before from d)", "select count(*) violations from o where degree > before"),
+    "validate_transpose_spoilt": over(MID, "select count(*) violations from e where dst % 10 = 0"),
+    "validate_symmetrize_spoilt": over(MID, SYM, "select 2 * count(*) violations from s where src < dst and src % 7 = 0"),
+    "validate_cc_spoilt": over(MID, VERT, SYM, CC, "p as (select distinct component a, id % 2 b from cc)", "select ((select count(*) from (select a from p group by a having count(*) > 1)) + (select count(*) from (select b from p group by b having count(*) > 1)))::bigint violations", recursive=True),
+    "validate_msf_spoilt": over(MID, PAIRS, KRUSKAL, FOREST, "select count(*) filter (src % 5 = 0) > 0 as found from f"),
+    "sampled_hot_vertices": over(SKEW, VERT, "select dst id, count(*) sampled from e where ('0x' || substr(md5('hot:' || src || '-' || dst), 1, 8))::bigint < least(1.0::double, 0.05::double * (select count(*) from v) / (select count(*) from e)) * 4294967296::double group by dst"),
+    # in the order of the hashes, what has no chosen neighbour before it is chosen
+    "maximal_independent_set": over(MID, VERT, SYM, "h as (select id, md5('mis:' || id) || id::varchar h from v)", "b as (select a.id id, c.id before from s join h a on a.id = s.src join h c on c.id = s.dst where c.h < a.h)",
+        "m(id, chosen) using key (id) as (select id, true from v where id not in (select id from b) union select b.id, not bool_or(r.chosen) from b join recurring.m r on r.id = b.before where b.id not in (select id from recurring.m) group by b.id having count(*) = (select count(*) from b x where x.id = b.id))",
+        "select id from m where chosen", recursive=True),
+    "maximal_matching": over(MID, SYM, "p as (select src, dst, md5('match:' || src || '-' || dst) || '-' || src || '-' || dst h from s where src < dst)",
+        "b as (select distinct a.h h, c.h before from p a join p c on c.h < a.h and (c.src in (a.src, a.dst) or c.dst in (a.src, a.dst)))",
+        "m(h, chosen) using key (h) as (select h, true from p where h not in (select h from b) union select b.h, not bool_or(r.chosen) from b join recurring.m r on r.h = b.before where b.h not in (select h from recurring.m) group by b.h having count(*) = (select count(*) from b x where x.h = b.h))",
+        "select src, dst from m join p using (h) where chosen", recursive=True),
+}

@@ -243,6 +243,47 @@ def validate_msf(spark, sf_dir):
     return forest.violations(graph, materialize(forest.boruvka(graph.edges), "forest"))
 
 
+@query
+def validate_relabeling_spoilt(spark, sf_dir):
+    graph = mid(spark, sf_dir)
+    mapping = ordering.random_ordering(graph.vertices).withColumn("new_id", F.floor(F.col("new_id") / 2))
+    return ordering.relabelling_violations(mapping, graph.vertices)
+
+
+@query
+def validate_degree_ordering_spoilt(spark, sf_dir):
+    graph = mid(spark, sf_dir)
+    by = ordering.degree_ordering(degrees.in_degree(graph))
+    return ordering.ordering_violations(by.withColumn("new_id", F.lit(graph.vertices.count() - 1) - F.col("new_id")))
+
+
+@query
+def validate_transpose_spoilt(spark, sf_dir):
+    edges = g_mid(spark, sf_dir)
+    return transform.transpose_violations(edges, transform.transpose(edges).where("src % 10 <> 0"))
+
+
+@query
+def validate_symmetrize_spoilt(spark, sf_dir):
+    edges = mid(spark, sf_dir).edges
+    return transform.symmetrize_violations(edges, transform.symmetrize(edges).where("not (src < dst and src % 7 = 0)"))
+
+
+@query
+def validate_cc_spoilt(spark, sf_dir):
+    graph = mid(spark, sf_dir)
+    labels = materialize(components.cc_pointer_jump(graph), "labels")
+    return components.labelling_violations(labels, labels.withColumn("component", F.col("id") % 2))
+
+
+@query
+def validate_msf_spoilt(spark, sf_dir):
+    """A forest without the edges that leave vertices divisible by five: as many components too many as there are edges too few."""
+    graph = weighted(mid(spark, sf_dir))
+    whole = materialize(forest.boruvka(graph.edges), "forest")
+    return forest.violations(graph, whole.where("src % 5 <> 0")).select((F.col("violations") > 0).alias("found"))
+
+
 @query
 def transpose(spark, sf_dir):
     return transform.transpose(g_skew(spark, sf_dir))

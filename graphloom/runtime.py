@@ -98,6 +98,11 @@ def delete(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all hand-offs of this application, once no DataFrame that reads them is needed."""
     delete(spark, scratch_dir(spark))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from graphloom.functions.scalars import format_si
 from graphloom.graphs import Graph
 from graphloom.operators.degrees import max_degree, out_degree
 from graphloom.operators.ordering import random_ordering
-from graphloom.runtime import materialize, scratch_dir
+from graphloom.runtime import exists, materialize, shared_dir
 
 
 def cache(graph: Graph) -> Graph:
@@ -19,14 +18,17 @@ def cache(graph: Graph) -> Graph:
 
 
 def fixed_random_ordering(graph: Graph, name: str, iterations: int = 1) -> DataFrame:
-    """The stored random ordering of ``name``; made and stored where there is none yet."""
+    """The stored random ordering of ``name``; made and stored where there is none yet of these vertices.
+
+    The folder's name holds the number of vertices and a sum of their hashes; a folder without the mark of a finished
+    write is made again.
+    """
     spark = graph.edges.sparkSession
-    path = f"{scratch_dir(spark)}/orderings/{name}_RND_{iterations}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    n, mark = graph.vertices.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31)))).first()
+    path = f"{shared_dir(spark)}/orderings/{name}_RND_{iterations}-{n}-{mark or 0:x}"
+    if not exists(spark, f"{path}/_SUCCESS"):
         random_ordering(graph.vertices, "1", iterations).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def report(graph: Graph, dataset: str) -> DataFrame:
