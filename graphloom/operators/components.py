@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import Graph
@@ -22,17 +22,22 @@ def pointer_jump(pointers: DataFrame) -> DataFrame:
     return compress(materialize(pointers, "pointers")).select("id", F.col("c").alias("root"))
 
 
-def jumped(labels: DataFrame, rows: DataFrame, total: int, steps: int = 2) -> DataFrame:
-    """``rows(id, old, c)`` after looking ``c`` up in ``labels(id, c)`` a few times; labels only get smaller."""
-    for _ in range(steps):
-        rows = follow(labels, rows, total).select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
-    return rows
+def hooked(met: DataFrame) -> DataFrame:
+    """``met(id, old, c)``, written, after each vertex that an old label names took the smallest new label of those that had it."""
+    hooks = met.where("c < old").groupBy(F.col("old").alias("id")).agg(F.min("c").alias("h"))
+    return met.join(hooks, "id", "left").select("id", "old", F.least("c", F.coalesce("h", "c")).alias("c"))
+
+
+def jumped(met: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """``rows(id, old, c)`` after looking ``c`` up in ``met(id, c)``; labels only get smaller."""
+    return follow(met.select("id", "c"), rows, total).select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
 
 
 def cc_min_label(graph: Graph) -> DataFrame:
     """``id, component``: the smallest id of the component, by rounds of minimum label and pointer jump.
 
-    Only vertices whose label changed push in the next round; every label is looked up among those of the round before.
+    Only vertices whose label changed push in the next round. The vertex that a label names takes part in what its
+    followers find, and every label is looked up once in a round.
     """
     edges = materialize(symmetrize(graph.edges), "edges")
     labels, moved = counted(minimum_pointers(graph).withColumn("moved", F.col("id") != F.col("c")), "labels", F.col("moved"))
@@ -41,9 +46,10 @@ def cc_min_label(graph: Graph) -> DataFrame:
         active = labels.where("moved").select(F.col("id").alias("src"), "c")
         pushed = edges.join(active, "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("pushed"))
         met = labels.join(pushed, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("pushed", "c")).alias("c"))
-        after = jumped(labels.select("id", "c"), met, total).select("id", "c", (F.col("c") != F.col("old")).alias("moved"))
+        met = materialize(met, "met")
+        after = jumped(met, hooked(met), total).select("id", "c", (F.col("c") != F.col("old")).alias("moved"))
         fresh, moved = counted(after, "labels", F.col("moved"))
-        discard(labels)
+        discard(labels, met)
         labels = fresh
     discard(edges)
     return labels.select("id", F.col("c").alias("component"))
@@ -66,10 +72,9 @@ def component_hubs(graph: Graph, labels: DataFrame) -> DataFrame:
     return best.select("component", (-F.col("m.neg")).alias("hub"), F.col("m.degree").alias("degree"))
 
 
-def frontier_density(labels: DataFrame, edges: int) -> Column:
-    """Aggregate over ``labels(moved, degree)``: changed vertices and their degrees, as a share of the edges."""
-    active = F.sum(F.when(F.col("moved"), F.col("degree") + 1).otherwise(0))
-    return active / F.lit(max(edges, 1))
+def frontier_density(changed: DataFrame, edges: int) -> float:
+    """One number: the vertices of ``changed(degree)`` and their degrees, as a share of the edges."""
+    return (changed.agg(F.sum(F.col("degree") + 1)).first()[0] or 0) / max(edges, 1)
 
 
 #: Share of active edges below which the changed vertices push instead of all others pulling.
@@ -89,21 +94,23 @@ def cc_zero_hub(graph: Graph) -> DataFrame:
     hub = degree.agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("hub"))  # one row
     near = edges.join(F.broadcast(hub), F.col("src") == F.col("hub")).select(F.col("dst").alias("id")).unionAll(hub.select(F.col("hub").alias("id"))).distinct()
     planted = degree.join(near.withColumn("zero", F.lit(True)), "id", "left")
-    first = planted.select("id", "degree", F.when(F.col("zero"), 0).otherwise(F.col("id") + 1).cast("long").alias("label"), F.lit(True).alias("moved"))
+    first = planted.select("id", F.when(F.col("zero"), 0).otherwise(F.col("id") + 1).cast("long").alias("label"), F.lit(True).alias("moved"))
     labels, moved = counted(first, "labels", F.col("moved"))
     total, dense = labels.count(), True
     while moved:
         source = (labels if dense else labels.where("moved")).select(F.col("id").alias("src"), F.col("label").alias("low"))
         open_ = labels.where("label > 0").select(F.col("id").alias("dst"))
         met = edges.join(open_, "dst", "left_semi").join(source, "src").groupBy(F.col("dst").alias("id")).agg(F.min("low").alias("low"))
-        met = labels.join(met, "id", "left").select("id", F.col("label").alias("old"), (F.least("label", F.coalesce("low", "label")) - 1).alias("c"))
         # label L > 0 names vertex L - 1; -1 stands for the planted zero and names none
-        after = jumped(labels.select("id", (F.col("label") - 1).alias("c")), met.where("c >= 0"), total, 1).unionAll(met.where("c < 0"))
-        after = after.join(degree, "id").select("id", "degree", (F.col("c") + 1).alias("label"), (F.col("c") + 1 != F.col("old")).alias("moved"))
+        met = labels.join(met, "id", "left").select("id", (F.col("label") - 1).alias("old"), (F.least("label", F.coalesce("low", "label")) - 1).alias("c"))
+        met = materialize(met, "met")
+        rows = hooked(met)
+        after = jumped(met, rows.where("c >= 0"), total).unionAll(rows.where("c < 0"))
+        after = after.select("id", (F.col("c") + 1).alias("label"), (F.col("c") != F.col("old")).alias("moved"))
         fresh, moved = counted(after, "labels", F.col("moved"))
-        discard(labels)
+        discard(labels, met)
         labels = fresh
-        dense = bool(moved) and labels.agg(frontier_density(labels, e)).first()[0] >= SPARSE
+        dense = dense and bool(moved) and frontier_density(labels.where("moved").join(degree, "id"), e) >= SPARSE
     discard(edges, degree)
     return labels.select("id", F.col("label").alias("component"))
 
