@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import split_join
 from graphloom.operators.contraction import connected_components
 from graphloom.runtime import discard, is_empty, materialize
 
 BLOCK_VARIANTS = 4_000_000
 #: Bytes of text whose words are held at once, and shingle hashes whose bits are counted at once.
 PIECE, COUNT = 1 << 22, 1 << 16
-#: Rounds of heads at most, and pairs for each member that are compared at once, before all pairs left are compared.
+#: Rounds of heads at most, and pairs for each member of a bucket that are few enough to be compared at once.
 ROUNDS, FEW = 6, 4
 
 
@@ -267,16 +268,46 @@ def labelled(docs: DataFrame, similarity: float, bands: int, rows: int, shingle:
     return seen, materialize(named.select("digest", "first", F.coalesce("component", "cid").alias("label")), "labels")
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """``x, n_x, y, n_y``: pairs of ``rows(key, cid, n, comp)`` of one key and different components.
+
+    One side leaves out the largest component of the key, so the rows that the join looks at are at most twice the pairs: a
+    large group that is already linked costs nothing.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("large"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    here = rows.join(largest.select("key", "large"), "key")
+    x = here.where("comp <> large").select("key", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
+    y = here.select("key", F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("large")).alias("in_large"))
+    return x.join(y, "key").where("comp_x <> comp_y and (in_large or x < y)").select("x", "n_x", "y", "n_y")
+
+
+def by_rarity(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, cid, n, comp`` for ``rows(cid, n, comp)``: each set's rarest shingles as keys.
+
+    Of n shingles the first n - ceil(similarity * n) + 1 by rarity are keys: two sets of the similarity share one of them,
+    whatever the order, so no pair is lost.
+    """
+    words = materialize(sets.join(rows, "cid").select("cid", "n", "comp", F.explode("s").alias("w")), "shingles")
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("times"))
+    ranked = split_join(words, often.where("times > 1"), ["w"], "inner", "times", words.count())
+    # shingles of one set alone come first and are no keys; those left are ranked after them
+    per = ranked.groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("times", "w"))).alias("held"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-6) + 1 - (F.col("n") - F.size("held"))
+    return per.where(first > 0).select("cid", "n", "comp", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("h")).select(F.col("h.w").alias("key"), "cid", "n", "comp")
+
+
 def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``id, component`` over the links between ``members(key, cid, n)`` of one bucket.
 
     A round compares one head of each bucket with the members of other components, then the head leaves: whoever
-    a rejected head left over is compared with the next. Members of one component need no comparison. Once
-    the pairs left are few for the members left, or after ``ROUNDS``, all of them are compared, so no pair that met
-    is passed over and a group of copies is never expanded.
+    a rejected head left over is compared with the next. Members of one component need no comparison. Once the pairs
+    left are at most ``FEW`` for each member that there was, they are compared; sets that so many pairs are left for after
+    ``ROUNDS`` meet in their rarest shingles instead, which loses no pair. So no pair that met is passed over and a group
+    of copies is never expanded.
     """
     edges = labels = None
-    rest = members
+    rest, most = members, 0
     for done in range(ROUNDS + 1):
         here = rest.withColumn("comp", F.col("cid")) if labels is None else rest.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         parts = here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("head"))
@@ -286,11 +317,13 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         rows, pairs = keys.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not rows:
             break
+        most = most or FEW * rows
         here = materialize(here.join(keys.select("key", "head", "head_comp"), "key"), "here")
-        last = done == ROUNDS or pairs <= FEW * rows
-        if last:
-            a, b = (here.select("key", F.col("cid").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in ("x", "y"))
-            todo = a.join(b, "key").where("comp_x <> comp_y and x < y")
+        last = done == ROUNDS or pairs <= most
+        if pairs <= most:
+            todo = across(here.select("key", "cid", "n", "comp"))
+        elif last:
+            todo = across(materialize(by_rarity(here.select("cid", "n", "comp").distinct(), sets, similarity), "rarest"))
         else:
             heads = here.where("cid = head").select("key", F.col("cid").alias("x"), F.col("n").alias("n_x"))
             todo = here.where("comp <> head_comp").select("key", F.col("cid").alias("y"), F.col("n").alias("n_y")).join(heads, "key")

@@ -115,3 +115,26 @@ def test_groups_of_copies_leave_one(spark):
     for r in kept.collect():
         by[r.text].append(r.doc_id)
     assert by[rows[0][1]] == [0] and len(by) == 6
+
+
+@pytest.mark.parametrize(("rounds", "few"), [(6, 4), (0, 0), (2, 0)])
+def test_sets_of_one_bucket_by_pairs_heads_and_rarest_shingles(spark, monkeypatch, rounds, few):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng, sets = random.Random(4), []
+    for size in (30, 12, 5):  # groups around a core, some members within the similarity, some not
+        core = rng.sample(range(10**9), 60)
+        sets += [sorted(core[: rng.randint(44, 60)] + rng.sample(range(10**9), rng.randint(0, 9))) for _ in range(size)]
+    sets += [[1], [1, 2], sets[0] + [10**9 + 1]]
+    root = {i: i for i in range(len(sets))}
+    for a in root:
+        for b in root:
+            common = len({*sets[a]} & {*sets[b]})
+            if a < b and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    assert 3 < len(set(root.values())) < len(sets)
+    members = spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "key bigint, cid bigint, n bigint")
+    arrays = spark.createDataFrame(list(enumerate(sets)), "cid bigint, s array<bigint>")
+    found = {r.id: r.component for r in simhash.linked(members, arrays, 0.8).collect()}
+    assert {i: found.get(i, i) for i in root} == root
