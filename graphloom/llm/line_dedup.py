@@ -37,10 +37,11 @@ def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     alone = ~F.contains(F.btrim(text_or_empty(F.col("text")), F.lit(" \n")), F.lit("\n"))
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), alone.alias("alone"), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
     split = keyed.select("k_id", "k_text", "alone", F.posexplode("lines").alias("pos", "line"))
-    raw = split.select("k_id", "k_text", "alone", "pos", "line", F.split(F.trim("line"), r"\s+").alias("raw"))
-    masked = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
-    mostly_words = F.size(F.filter("raw", lambda t: ~t.rlike("[0-9]"))) * 2 >= F.size("raw")
-    toks = raw.select("k_id", "k_text", "alone", "pos", F.when(F.col("line").rlike("[0-9]") & mostly_words, masked).otherwise(F.col("raw")).alias("tokens"))
+    has_digit = lambda t: t.rlike("[0-9]")
+    masked = lambda raw: F.when(F.size(F.filter(raw, has_digit)) * 2 <= F.size(raw), F.transform(raw, lambda t: F.when(has_digit(t), WILD).otherwise(t))).otherwise(raw)
+    # exploded, since the filter would be pushed under a plain column and make every line's tokens twice
+    tokens = F.transform(F.array(F.split(F.trim("line"), r"\s+")), lambda raw: F.when(has_digit(F.col("line")), masked(raw)).otherwise(raw))
+    toks = split.select("k_id", "k_text", "alone", "pos", F.explode(tokens).alias("tokens"))
     toks = toks.withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", *(F.get("tokens", F.lit(i)) for i in range(depth)))
     return toks.select("k_id", "k_text", "alone", "pos", "n", leaf.alias("leaf"), digest(F.array_join("tokens", " ")).alias("form"), "tokens")
