@@ -288,3 +288,37 @@ def test_batch(spark, tmp_path, hand):
     run_all({"hand": hand, "small": more}, components.cc_pointer_jump, str(tmp_path / "one"), skip=1, most=1)
     read = lambda p: sorted((r.dataset, r.v, r.e) for r in tables.read_report(spark, str(tmp_path / p), "dataset string, v bigint, e bigint, time_ms bigint").collect())
     assert read("r") == [("hand", 8, 9), ("small", 3, 1)] and read("one") == [("hand", 8, 9)]
+
+
+def broadcast_rows(spark, since):
+    """The rows of every table that the driver collected to broadcast, in executions from ``since`` on."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        if run >= since:
+            nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if node.name() == "BroadcastExchange":
+                    metrics = (node.metrics().apply(m) for m in range(node.metrics().size()))
+                    out += [values.apply(m.accumulatorId()) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return [int(x.replace(",", "")) for x in out]
+
+
+def test_zero_planted_rounds_broadcast_no_table_of_vertices(spark):
+    n = 300_000  # twins, a path over a thousand of them and a hub; written, their sorted ids take few bytes a row
+    twins = spark.range(n).selectExpr("id * 2 as src", "id * 2 + 1 as dst")
+    path = spark.range(1000).selectExpr("id * 2 + 1 as src", "id * 2 + 2 as dst")
+    star = spark.range(500_000, 500_900, 2).selectExpr("500000L as src", "id as dst").where("src <> dst")
+    edges = twins.unionAll(path).unionAll(star)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(k, None) for k in names]
+    found = components.cc_zero_hub(Graph.of_edges(edges))
+    rows = broadcast_rows(spark, since)
+    assert rows and max(rows) <= 100_000
+    assert [spark.conf.get(k, None) for k in names] == before
+    labels = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    assert {r.component: r.n for r in labels.where("n > 2").collect()} == {0: 900, 1: 2002}
+    assert labels.where("component > 0 and least + 1 <> component").count() == 0
+    assert found.count() == 2 * n
