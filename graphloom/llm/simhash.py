@@ -186,6 +186,12 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return sent.groupBy("block").agg(F.collect_list("fps").alias("fps")).mapInArrow(verify, "band bigint, src bigint, dst bigint").distinct()
 
 
+def in_balls(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes(band, fp, ...)`` of one band, written, no fingerprint twice, with ``label``: the group that ball hashing puts it in."""
+    labels = connected_components(links(classes, radius).select("src", "dst"))
+    return classes.drop("band").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
@@ -196,8 +202,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     """
     fps = materialize(fingerprints(docs, shingle, seed).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(F.lit(0).cast("long").alias("band"), "fp", "first_id"), "classes")
-    labels = connected_components(links(classes, radius).select("src", "dst"))
-    named = classes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("label"))
+    named = in_balls(classes, radius)
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = materialize(named.join(smallest, "label").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
@@ -209,21 +214,26 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * math.acos(cosine) / math.pi)
 
 
+#: Words of a shingle and seed of the fingerprints that ball hashing groups, as in ``near_duplicates``.
+FP_SHINGLE, FP_SEED = 4, 42
+
+
 def sketches(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, k_text, digest, n, keys``, row by row: the digest and size of the shingle set and its band keys."""
+    """``doc_id, k_text, digest, n, keys, fp``, row by row: the digest and size of the shingle set, its band keys and the fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, fps = [], [], [], []
             for t in b.column(2).to_pylist():
+                fps.append(fingerprint(t, FP_SHINGLE, FP_SEED).view(np.int64)[0])
                 s = shingle_set(t, shingle, seed)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 keys.append(band_keys(s, bands, rows, seed))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k_text", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["doc_id", "k_text", "digest", "n", "keys", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("k_text"), "text").mapInArrow(run, f"doc_id {kind}, k_text bigint, digest binary, n bigint, keys array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("k_text"), "text").mapInArrow(run, f"doc_id {kind}, k_text bigint, digest binary, n bigint, keys array<bigint>, fp bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -248,16 +258,29 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return fit.join(left, "x").join(right, "y").where(common / (F.col("n_x") + F.col("n_y") - common) >= similarity).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
-def labelled(docs: DataFrame, similarity: float, bands: int, rows: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def ball_keys(seen: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """``cid, n, key`` for the sets ``classes(digest, cid, n)`` of the sketches ``seen``: the ball groups of their rows' fingerprints."""
+    of_set = materialize(seen.select("digest", "fp").distinct(), "fps")
+    fps = materialize(of_set.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).select(F.lit(0).cast("long").alias("band"), "fp", "times"), "fp_classes")
+    balls = materialize(in_balls(fps, radius), "balls")
+    held = split_join(of_set, balls, ["fp"], "inner", "times", of_set.count())
+    # hashed: a label is a fingerprint and must not be taken for a band key
+    keys = held.select("digest", F.xxhash64(F.lit("ball"), "label").alias("key")).distinct()
+    return classes.select("digest", "cid", "n").join(keys, "digest").select("cid", "n", "key")
+
+
+def labelled(docs: DataFrame, similarity: float, bands: int, rows: int, shingle: int, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row, and ``digest, first, label`` for each different shingle set: its first row and its group.
 
-    Sets that share a band key are candidates; a candidate pair is linked if its exact Jaccard similarity suffices.
+    Sets whose fingerprints ball hashing groups, and sets that share a band key, are candidates; a candidate pair is linked if
+    its exact Jaccard similarity suffices.
     """
     seen = materialize(sketches(docs, shingle, seed, bands, rows), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_text")
     classes = seen.groupBy("digest").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    in_band = classes.select("cid", "n", F.explode("keys").alias("key"))
+    in_band = classes.select("cid", "n", F.explode("keys").alias("key")).unionByName(ball_keys(seen, classes, radius))
+    in_band = materialize(in_band, "keys")
     shared = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1").select("key")
     members = materialize(in_band.join(shared, "key"), "members")
     met = members.select("cid").distinct()
@@ -336,27 +359,28 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return labels if labels is not None else members.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42, radius: int = 4) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``: groups of texts that share ``similarity`` of their shingles.
 
-    One fingerprint of 64 bits finds pairs at the similarity too rarely. So the shingle sets have ``bands`` keys of
-    ``rows`` minima each: a pair of Jaccard similarity s meets with chance 1 - (1 - s ** rows) ** bands (0.973 at 0.8), and
-    the exact similarity of the sets decides. Rows are treated as in ``near_duplicates``.
+    Texts whose fingerprints ball hashing groups, as in ``near_duplicates``, meet. One fingerprint of 64 bits finds pairs at the
+    similarity too rarely. So the shingle sets also have ``bands`` keys of ``rows`` minima each: a pair of Jaccard similarity s
+    meets there with chance 1 - (1 - s ** rows) ** bands (0.973 at 0.8). Of texts that met either way the exact similarity of
+    the sets decides. Rows are treated as in ``near_duplicates``.
     """
-    seen, classes = labelled(docs, similarity, bands, rows, shingle, seed)
+    seen, classes = labelled(docs, similarity, bands, rows, shingle, seed, radius)
     smallest = classes.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
     of_set = materialize(classes.join(smallest, "label").select("digest", "component_id"), "components")
     return seen.select("doc_id", "digest").join(of_set, "digest").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 10, shingle: int = 5, seed: int = 42, radius: int = 4) -> DataFrame:
     """One document of each group of near copies: the row with the smallest id, then the smallest hash of its text.
 
     Exactly one row of every group stays, whatever ids are null or repeated; a row with a null id only if no row
     of its group has an id. Texts without words (null, empty, blank) are a group; very long ones are read whole; an empty
     table gives no rows. Columns and their order stay, whatever their names.
     """
-    seen, classes = labelled(docs, similarity, bands, rows, shingle, seed)
+    seen, classes = labelled(docs, similarity, bands, rows, shingle, seed, radius)
     first = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("loom_id"), F.col("first.k_text").alias("loom_text"))
     same = F.col("doc_id").eqNullSafe(F.col("loom_id")) & (F.col("k_text") == F.col("loom_text"))
     first = materialize(seen.join(first, same).groupBy("loom_id", "loom_text").agg(F.count(F.lit(1)).alias("loom_rows")), "kept")

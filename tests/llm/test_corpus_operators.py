@@ -555,6 +555,24 @@ def test_near_copies_just_above_the_similarity(spark):
     assert sum(of[k + 1] == k for k in above) >= 0.95 * len(above)
 
 
+def test_near_copies_meet_by_ball_hashing(spark):
+    rng, rows, true = random.Random(14), [], []
+    for k in range(40):
+        w = words(rng, 600, 10**6).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "tail", "of", str(k)]))]
+        a, b = (brute_fingerprint(t) for _, t in rows[-2:])
+        true.append((a ^ b).bit_count() <= 4)
+    often = words(rng, 13, 10**6)
+    for i in (100, 101):  # one sentence over and over gives near fingerprints; the different shingles are other ones
+        rows.append((i, " ".join([often] * 300 + [words(rng, 60, 10**6)])))
+    assert sum(true) > 20 and (brute_fingerprint(rows[-1][1]) ^ brute_fingerprint(rows[-2][1])).bit_count() <= 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = {r.doc_id: r.component_id for r in simhash.near_copies(docs, bands=0).collect()}
+    assert [of[2 * k + 1] == 2 * k for k in range(40)] == true
+    assert of[100] == 100 and of[101] == 101
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, bands=0).collect()} == set(of.values())
+
+
 @pytest.mark.parametrize(("rounds", "few"), [(6, 4), (6, 0), (0, 0)])
 def test_members_that_a_rejected_head_left_over_are_compared(spark, monkeypatch, rounds, few):
     monkeypatch.setattr(simhash, "ROUNDS", rounds)
