@@ -25,6 +25,8 @@ from graphloom.runtime import discard, materialize
 
 WILD = "<*>"
 MIN_DOCS, LONG, LONG_DOCS = 8, 50, 3
+#: What only lines have whose tokens hold digits or don't stand one blank apart (or two blanks); a token with digits, tried only where a token begins.
+ODD, DIGITS = r"[0-9\t\x0b\f\r]", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def digest(text: Column) -> Column:
@@ -33,18 +35,40 @@ def digest(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``k_id, k_text, alone, pos, n, leaf, form, tokens`` for each line of at least ``min_tokens`` tokens."""
+    """``k_id, k_text, alone, pos, n, leaf, line`` for each line of at least ``min_tokens`` tokens.
+
+    ``line`` is the tokens with a blank between them; no token has white space, so ``tokens_of`` gets them back. Arrays of tokens are only
+    made for the few lines that need them.
+    """
     alone = ~F.contains(F.btrim(text_or_empty(F.col("text")), F.lit(" \n")), F.lit("\n"))
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), alone.alias("alone"), F.split(text_or_empty(F.col("text")), "\n").alias("lines"))
-    split = keyed.select("k_id", "k_text", "alone", F.posexplode("lines").alias("pos", "line"))
-    has_digit = lambda t: t.rlike("[0-9]")
-    masked = lambda raw: F.when(F.size(F.filter(raw, has_digit)) * 2 <= F.size(raw), F.transform(raw, lambda t: F.when(has_digit(t), WILD).otherwise(t))).otherwise(raw)
-    # exploded, since the filter would be pushed under a plain column and make every line's tokens twice
-    tokens = F.transform(F.array(F.split(F.trim("line"), r"\s+")), lambda raw: F.when(has_digit(F.col("line")), masked(raw)).otherwise(raw))
-    toks = split.select("k_id", "k_text", "alone", "pos", F.explode(tokens).alias("tokens"))
-    toks = toks.withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
-    leaf = F.xxhash64("n", *(F.get("tokens", F.lit(i)) for i in range(depth)))
-    return toks.select("k_id", "k_text", "alone", "pos", "n", leaf.alias("leaf"), digest(F.array_join("tokens", " ")).alias("form"), "tokens")
+    split = keyed.select("k_id", "k_text", "alone", F.posexplode("lines").alias("pos", "raw"))
+    plain = F.trim("raw")
+    blanks = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    even = F.regexp_replace(plain, r"\s+", " ")
+    masked = F.when(F.regexp_count(even, F.lit(DIGITS)) * 2 <= blanks(even) + 1, F.regexp_replace(even, DIGITS, WILD)).otherwise(even)
+    line = F.when(F.col("raw").rlike(ODD) | F.contains("raw", F.lit("  ")), masked).otherwise(plain)
+    # exploded, since the filter would be pushed under a plain column and make it twice
+    toks = split.select("k_id", "k_text", "alone", "pos", F.explode(F.array(line)).alias("line"))
+    toks = toks.withColumn("n", blanks(F.col("line")) + 1).where(F.col("n") >= min_tokens)
+    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
+    return toks.select("k_id", "k_text", "alone", "pos", "n", leaf.alias("leaf"), "line")
+
+
+def tokens_of(line: str) -> Column:
+    return F.split(line, " ")
+
+
+def crowded(read: DataFrame, need: Column) -> DataFrame:
+    """The lines of ``read`` (written) in leaves that hold enough texts, with the leaf's ``texts`` and the line's ``form``, written.
+
+    Only there a template can recur, since all lines of one are in one leaf.
+    """
+    leaves = read.groupBy("leaf", "n", "k_text").agg(F.count(F.lit(1)).alias("rows")).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
+    leaves = materialize(leaves.where(F.col("texts") >= need).select("leaf", "texts", "rows"), "crowded")
+    out = materialize(split_join(read, leaves, ["leaf"], "inner", "rows", read.count()).drop("rows").withColumn("form", digest(F.col("line"))), "candidates")
+    discard(leaves)
+    return out
 
 
 def generalised(inside: DataFrame, total: int, depth: int, similarity: float, need: Column) -> DataFrame:
@@ -72,32 +96,27 @@ def generalised(inside: DataFrame, total: int, depth: int, similarity: float, ne
     return out
 
 
-def templates(lines: DataFrame, depth: int, similarity: float, need: Column) -> DataFrame:
-    """``k_id, k_text, alone, pos, n, template`` of ``lines`` (written): the hash of what each line is an instance of."""
-    total = lines.count()
-    leaves = lines.groupBy("leaf", "n", "k_text").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    leaves = leaves.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
-    varied = materialize(leaves.where((F.col("texts") >= need) & (F.col("lo") != F.col("hi"))).select("leaf", "texts", "rows"), "leaves")
-    inside = materialize(split_join(lines, varied, ["leaf"], "inner", "rows", total).drop("rows"), "inside")
+def templates(lines: DataFrame, total: int, depth: int, similarity: float, need: Column) -> DataFrame:
+    """``k_id, k_text, alone, pos, n, template`` of ``lines`` (written, in crowded leaves): the hash of what each line is an instance of."""
+    leaves = lines.groupBy("leaf", "n").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    varied = materialize(leaves.where(F.col("lo") != F.col("hi")).select("leaf", "rows"), "leaves")
+    inside = materialize(split_join(lines, varied, ["leaf"], "inner", "rows", total).drop("rows").withColumn("tokens", tokens_of("line")).drop("line"), "inside")
     known = generalised(inside, total, depth, similarity, need)
     columns = ["k_id", "k_text", "alone", "pos", "n"]
     general = split_join(inside.select(*columns, "leaf", "form"), known, ["leaf", "form"], "left", "lines", total)
-    outside = split_join(lines, varied.select("leaf", "rows", F.lit(True).alias("varied")), ["leaf"], "left", "rows", total).where("varied is null")
+    outside = split_join(lines.select(*columns, "leaf", "form"), varied.select("leaf", "rows", F.lit(True).alias("varied")), ["leaf"], "left", "rows", total).where("varied is null")
     out = general.select(*columns, F.coalesce("template", "form").alias("template")).unionByName(outside.select(*columns, F.col("form").alias("template")))
     out = materialize(out, "templates")
     discard(varied, inside, known)
     return out
 
 
-def witnesses(lines: DataFrame, often: DataFrame, total: int, copied: float) -> DataFrame:
-    """``template, witness``, once each: the texts that the templates in ``often(template, texts, rows)`` stand in, copies by their family."""
-    marked = split_join(lines, often, ["template"], "left", "rows", total)
-    again = F.when(F.col("texts").isNotNull(), F.col("n")).otherwise(0)
-    own_ = F.when(F.col("texts").isNotNull(), F.col("template"))
-    per = marked.groupBy("k_text").agg(F.sum(again).alias("again"), F.sum("n").alias("all"), F.min(F.when(F.col("texts").isNotNull(), F.struct("texts", "template"))).alias("rarest"), F.min(own_).alias("lo"), F.max(own_).alias("hi"), F.max("alone").alias("alone"))
+def witnesses(marked: DataFrame, sizes: DataFrame, copied: float) -> DataFrame:
+    """``template, witness``, once each: the texts that the templates of ``marked`` lines stand in, copies by their family; ``sizes(k_text, all)``."""
+    per = marked.groupBy("k_text").agg(F.sum("n").alias("again"), F.min(F.struct("texts", "template")).alias("rarest"), F.min("template").alias("lo"), F.max("template").alias("hi"), F.max("alone").alias("alone"))
     copy = (F.col("again") > F.col("all") * copied) & (F.col("lo") != F.col("hi"))
-    special = materialize(per.where("lo is not null").where(F.col("alone") | copy).select("k_text", "alone", F.col("rarest.template").alias("family")), "families")
-    pairs = marked.where("texts is not null").select("template", "k_text").distinct()
+    special = materialize(per.join(sizes, "k_text").where(F.col("alone") | copy).select("k_text", "alone", F.col("rarest.template").alias("family")), "families")
+    pairs = marked.select("template", "k_text").distinct()
     found = pairs.join(special, "k_text", "left").where(~F.coalesce("alone", F.lit(False)))
     family = F.when(F.col("family").isNotNull(), F.concat(F.lit("copies "), F.col("family").cast("string"))).otherwise(F.concat(F.lit("text "), F.col("k_text").cast("string")))
     return found.select("template", family.alias("witness")).distinct()
@@ -107,14 +126,19 @@ def recurring(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, simil
     """``k_id, k_text, pos`` of each line to drop."""
     need = F.when(F.col("n") >= long, long_docs).otherwise(min_docs)
     read = materialize(lines_of(docs, depth, min_tokens), "lines")
-    lines = templates(read, depth, similarity, need)
-    discard(read)
-    total = lines.count()
+    near = crowded(read, need)
+    total = near.count()
+    lines = templates(near, total, depth, similarity, need)
+    discard(near)
     texts = lines.groupBy("template", "n", "k_text").agg(F.count(F.lit(1)).alias("rows")).groupBy("template", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
-    often = materialize(texts.where(F.col("texts") >= need), "often")
-    seen = witnesses(lines, often.select("template", "texts", "rows"), total, copied).groupBy("template").agg(F.count(F.lit(1)).alias("witnesses"))
+    often = materialize(texts.where(F.col("texts") >= need).select("template", "n", "texts", "rows"), "often")
+    marked = materialize(split_join(lines, often.select("template", "texts", "rows"), ["template"], "inner", "rows", total).drop("rows"), "marked")
+    discard(lines)
+    sizes = read.groupBy("k_text").agg(F.sum("n").alias("all"))
+    seen = witnesses(marked, sizes, copied).groupBy("template").agg(F.count(F.lit(1)).alias("witnesses"))
     dropped = materialize(often.join(seen, "template").where(F.col("witnesses") >= need).select("template", "rows"), "recurring")
-    return split_join(lines.select("k_id", "k_text", "pos", "template"), dropped, ["template"], "inner", "rows", total).select("k_id", "k_text", "pos")
+    discard(read, often)
+    return split_join(marked.select("k_id", "k_text", "pos", "template"), dropped, ["template"], "inner", "rows", total).select("k_id", "k_text", "pos")
 
 
 def drop_recurring_lines(

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from graphloom.llm import common, decontaminate, embed_dedup, langid, line_dedup, mixing, pii, quality, secret_scan, simhash, suffix_dedup
 
@@ -732,6 +733,27 @@ def test_shared_lines_go_however_little_else_there_is(spark):
     assert all(out[i] == t for i, t in rows if i >= 200)
 
 
+def test_line_tokens_are_made_once_and_only_for_leaves_that_many_texts_share(spark):
+    rng = random.Random(24)
+    parts = ["a", "bc", "x1", "7", "é9", "𝒳", "𝒳2", "<*>", "١", "", "\u0085", "$1", "\\"]
+    lines = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", "\t", "\x0b", "\f", "\r"]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    lines += ["1 2 3", "1 b 3", "1 b", "q" * 50_000, "7" * 50_000 + " b c"]
+
+    def tokens(line):
+        raw = re.split(r"[ \t\x0b\f\r]+", line.strip(" "))
+        digits = [re.search("[0-9]", t) is not None for t in raw]
+        return ["<*>" if d else t for t, d in zip(raw, digits, strict=True)] if sum(digits) * 2 <= len(raw) else raw
+
+    got = line_dedup.lines_of(spark.createDataFrame([(0, "\n".join(lines))], "doc_id bigint, text string"), 3, 2).select("pos", "n", line_dedup.tokens_of("line").alias("t"))
+    assert {r.pos: (r.n, r.t) for r in got.collect()} == {i: (len(tokens(x)), tokens(x)) for i, x in enumerate(lines) if len(tokens(x)) >= 2}
+    rows = [(i, "\n".join([words(rng, 12, 10**6) for _ in range(5)] + ["This footer stands below some texts"] * (i < 10))) for i in range(300)]
+    read = line_dedup.lines_of(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 3)
+    assert not [kind for _, kind in read.dtypes if kind.startswith("array")], "tokens of every line were written"
+    assert "transform(" not in read._jdf.queryExecution().optimizedPlan().toString(), "a function is applied to every token"
+    near = line_dedup.crowded(read, F.lit(8)).collect()
+    assert len(near) == 10 and all(r.line.startswith("This footer") and r.texts == 10 for r in near)
+
+
 def test_extra_columns_of_any_name(spark):
     rng = random.Random(23)
     footer = "This footer stands below every text of the table"
