@@ -607,6 +607,20 @@ def test_repeated_starts():
         assert [m.tolist() for m in suffix_dedup.repeated_starts(contexts, n)] == want
 
 
+def test_a_string_after_bytes_that_differ_repeats(spark):
+    assert [m.tolist() for m in suffix_dedup.repeated_starts([b"acdefghij", b"bcdefghij"], 8)] == [[False, True], [False, True]]
+    rng = random.Random(4)
+    for _ in range(1000):
+        shared = bytes(rng.choice(b"cdefgh") for _ in range(rng.randint(8, 30)))
+        contexts = [bytes(rng.choice(b"abcdyz") for _ in range(rng.randint(0, 3))) + shared[rng.randint(0, len(shared) - 8) :] for _ in range(rng.randint(2, 6))]
+        count = Counter(x[s : s + 8] for x in contexts for s in range(len(x) - 7))
+        want = [[count[x[s : s + 8]] > 1 for s in range(len(x) - 7)] for x in contexts]
+        assert [m.tolist() for m in suffix_dedup.repeated_starts(contexts, 8)] == want
+    passage = "".join(rng.choice("cdefgh") for _ in range(400))
+    out = suffix_dedup.deduplicate(spark.createDataFrame([(1, "a" + passage), (2, "b" + passage)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == {(1, 401, 400, 1, b"a"), (2, 401, 400, 1, b"b")}
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     raw = bytes(rng.choice(b"abca") for _ in range(500)) + b"\x00" + b"\xff" * 20
